@@ -5,8 +5,8 @@ frequent (``table_words`` at most, none longer than ``word_bytes``) are encoded
 once by the tokenizers library and form a table of bounded size that every task
 gets. A second pass splits the texts again and joins the words' ids back by
 position, a whole Arrow batch at a time. A distinct word outside the table,
-which is rare by construction, is encoded by the library in the batch where it
-stands, once for that batch. Decoding joins each id with its piece in the
+which is rare by construction, is encoded by the library where it stands and
+then kept in the worker's own table, which has a bound as well. Decoding joins each id with its piece in the
 vocabulary.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows, null
@@ -17,6 +17,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm.shared import saved, table, whole_text
-from keyfold.llm.words import Encoder, bytes_of, grouped, split
+from keyfold.llm.words import Encoder, bytes_of, encoder, grouped, slices, split
 
 
 def vocabulary(name: str) -> str:
@@ -38,7 +39,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word (binary), n: how often each distinct word occurs in all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             words, _ = split(b.column(0))
             n = words.value_counts()
             yield pa.RecordBatch.from_arrays([n.field("values").cast(pa.binary()), n.field("counts")], names=["word", "n"])
@@ -69,13 +70,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """id and ``ids`` (little-endian unsigned 32-bit integers) of every row."""
     spark = docs.sparkSession
     known = word_table(docs, path, text_col, table_words).select("word", "ids").toArrow().combine_chunks()
+    version = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast((known.column(0).cast(pa.large_binary()).combine_chunks(), known.column(1).cast(pa.large_binary()).combine_chunks()))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, table_words, *sent.value)
-        for b in batches:
+        own = encoder(path, 2 * table_words, version, *sent.value)
+        for b in slices(batches, 1):
             words, starts = split(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), grouped(encoder.encode(words), starts).cast(pa.binary())], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), grouped(own.encode(words), starts).cast(pa.binary())], names=[id_col, "ids"])
 
     rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
     return rows.mapInArrow(ids, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids binary")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.bpe import vocabulary
 from keyfold.llm.shared import numbered, saved, table, whole_text
-from keyfold.llm.words import Encoder, grouped, split
+from keyfold.llm.words import encoder, grouped, slices, split
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -91,10 +91,10 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     others = rows.columns[:-1]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for b in batches:
+        own = encoder(path, 1 << 20)
+        for b in slices(batches, len(others)):
             words, starts = split(b.column(len(others)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], grouped(encoder.encode(words), starts).cast(pa.binary())], names=[*others, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], grouped(own.encode(words), starts).cast(pa.binary())], names=[*others, "ids"])
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(ids, ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", ids binary")

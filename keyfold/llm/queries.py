@@ -5,9 +5,13 @@ from __future__ import annotations
 from keyfold.llm.bpe import op7_word_table_bpe
 from keyfold.llm.content_sort import OP10_SQL, op10_content_sort
 from keyfold.llm.feistel import op8_feistel_shards
+from keyfold.llm.fm import op1_factorisation_machine
+from keyfold.llm.ftrl import op3_ftrl_toxicity
 from keyfold.llm.packing import op9_best_two_fit
 
 QUERIES = {
+    "op1_factorisation_machine": op1_factorisation_machine,
+    "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op7_word_table_bpe": op7_word_table_bpe,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_best_two_fit": op9_best_two_fit,

@@ -12,6 +12,7 @@ the word is simply longer; strings of special tokens are never cut.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -63,29 +64,87 @@ def grouped(column: pa.Array, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
 
 
+_kept: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, limit: int, version: str = "", words: pa.Array | None = None, ids: pa.Array | None = None) -> Encoder:
+    """One encoder for each Python worker and ``version``, whose table later tasks find warm."""
+    key = (path, limit, version)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(path, limit, words, ids)
+    return _kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``most`` bytes of text, or one row."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 class Encoder:
     """Token ids of words: a table of known words, and the library for each distinct word that is not in it.
 
     ``limit`` bounds the table, to which new words are added in the order met.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19, words: pa.Array | None = None, ids: pa.Array | None = None):
+    def __init__(self, path: str, limit: int = 1 << 20, words: pa.Array | None = None, ids: pa.Array | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.marks_end = any(w.endswith("</w>") for w in vocabulary)
+        self.mark = np.zeros(max(vocabulary.values(), default=0) + 1 + 256, dtype=bool)
+        self.mark[[i for w, i in vocabulary.items() if (w.endswith("</w>") if self.marks_end else w[0] == "\u0120")]] = True
         self.limit = limit
         self.words = pa.array([], pa.large_binary()) if words is None else words
         self.ids = pa.array([], pa.large_binary()) if ids is None else ids
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts and tokens of words, one call for each word."""
+        counts, flat = [], []
+        for k in range(0, len(words), 10_000):
+            found = [e.ids for e in self.library.encode_batch_fast(words[k : k + 10_000], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(counts[-1].sum())))
+        return np.concatenate([*counts, np.zeros(0, np.int64)]), np.concatenate([*flat, np.zeros(0, "<u4")])
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As above for words of ASCII letters after a space: many in one call, told apart by the tokens that mark where words start or end."""
+        counts, flat = [], []
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            texts = ["".join(part[i : i + 1000]) for i in range(0, len(part), 1000)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), dtype="<u4")
+            if self.marks_end:
+                n = np.diff(np.flatnonzero(self.mark[ids]), prepend=-1)
+            else:
+                n = np.diff(np.flatnonzero(self.mark[ids]), append=len(ids))
+            if len(n) != len(part):
+                n, ids = self._each(part)
+            counts.append(n)
+            flat.append(ids)
+        return np.concatenate([*counts, np.zeros(0, np.int64)]), np.concatenate([*flat, np.zeros(0, "<u4")])
+
     def library_ids(self, words: pa.Array) -> pa.Array:
         """Ids as little-endian unsigned 32-bit integers, for each word."""
-        found = [e.ids for e in self.library.encode_batch_fast(words.cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum()))
-        return pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int64)), pa.py_buffer(flat)])
+        names = words.cast(pa.large_string()).to_pylist()
+        plain = np.fromiter((w[:1] == " " and w.isascii() and w[1:].isalpha() for w in names), dtype=bool, count=len(names))
+        n1, f1 = self._joined([w for w, p in zip(names, plain) if p])
+        n2, f2 = self._each([w for w, p in zip(names, plain) if not p])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([n1, n2]) * 4)]).astype(np.int64)
+        both = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([f1, f2]))])
+        place = np.empty(len(names), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(names))
+        return both.take(pa.array(place))
 
     def encode(self, words: pa.Array) -> pa.Array:
         distinct = words.dictionary_encode()
