@@ -74,7 +74,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     sent = spark.sparkContext.broadcast((known.column(0).cast(pa.large_binary()).combine_chunks(), known.column(1).cast(pa.large_binary()).combine_chunks()))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, 2 * table_words, version, *sent.value)
+        own = encoder(path, table_words + (1 << 18), version, *sent.value)
         for b in slices(batches, 1):
             words, starts = split(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), grouped(own.encode(words), starts).cast(pa.binary())], names=[id_col, "ids"])
@@ -101,7 +101,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decode
     others = [c for c in rows.columns if c != name]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, others.index(ids_col)):
             column = b.column(b.schema.get_field_index(ids_col)).cast(pa.large_binary())
             data, at = bytes_of(column, np.arange(len(column) + 1))
             flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<u4")

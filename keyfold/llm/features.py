@@ -14,15 +14,23 @@ EDGE = b".,;:!?\"'()[]{}*&%$#-_/\\<>|~`^=+@"
 A1, A2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # fixed values: odd multipliers
 
 
-def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 32-bit hash of each lower-cased word without punctuation at its ends (0 where nothing is left), and where each row's words start."""
+def word_hashes(text: pa.Array, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """A 32-bit hash of each lower-cased word without punctuation at its ends (0 where nothing is left), and where each row's words start.
+
+    For each of ``stems``, the hashes of the words' first so many letters follow.
+    """
     text = text.cast(pa.large_string()).take(pa.array(np.arange(len(text))))  # a sliced array would be split as if it were whole
     parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
     starts = parts.offsets.to_numpy().astype(np.int64)
     words = parts.flatten().dictionary_encode()
-    of = np.fromiter((zlib.crc32(w.strip(EDGE)) for w in words.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(words.dictionary))
-    flat = of[words.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.uint64)
-    return flat, starts - starts[0]
+    at = words.indices.to_numpy() if len(words) else np.zeros(0, dtype=np.int64)
+    names = [w.strip(EDGE) for w in words.dictionary.cast(pa.large_binary()).to_pylist()]
+    hashed = lambda parts: np.fromiter(map(zlib.crc32, parts), dtype=np.uint64, count=len(names))[at]
+    out = [hashed(names), starts - starts[0]]
+    if stems:
+        letters = [w.decode("utf-8", "replace") for w in names]
+        out += [hashed([w[:k].encode() for w in letters]) for k in stems]
+    return tuple(out)
 
 
 def rows_of(starts: np.ndarray) -> np.ndarray:

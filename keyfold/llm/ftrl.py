@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, word pairs and pairs with one word between
-them, hashed into ``2**bits`` buckets. FTRL-proximal keeps a learning rate for
+Features are the distinct words, their stems (the first four and five letters),
+word pairs and pairs with one word between them, hashed into ``2**bits`` buckets. FTRL-proximal keeps a learning rate for
 each coordinate and its L1 term leaves most weights at exactly zero, so that
 the model is a short list of buckets and weights, which is broadcast. It is
 fitted on at most ``train_rows`` labelled rows, a documented bound.
@@ -26,6 +26,9 @@ from keyfold.llm.shared import crc_mod, table, whole_text
 from keyfold.llm.words import slices
 
 
+STEMS = (4, 5)
+
+
 @dataclass
 class Model:
     bias: float
@@ -41,15 +44,15 @@ class Model:
 
 def grams(text: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and bucket of the distinct features of a batch (of those whose bucket is ``wanted``)."""
-    hashes, starts = word_hashes(text)
+    hashes, starts, *stems = word_hashes(text, STEMS)
     row = rows_of(starts)
     found = []
-    for gap in (0, 1, 2):
-        if len(hashes) <= gap:
+    for salt, (words, gap) in enumerate([(hashes, 0), (hashes, 1), (hashes, 2), *[(s, 0) for s in stems]], 1):
+        if len(words) <= gap:
             continue
         with np.errstate(over="ignore"):
-            h = hashes if not gap else hashes[:-gap] * A2 + hashes[gap:]
-        b, r = bucket(h, gap + 1, bits), row[: len(h)]
+            h = words[:-gap] * A2 + words[gap:] if gap else words
+        b, r = bucket(h, salt, bits), row[: len(h)]
         ok = row[gap:] == r if gap else np.ones(len(h), dtype=bool)
         if wanted is not None:
             ok &= wanted[b]
@@ -58,7 +61,7 @@ def grams(text: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[
     return cells >> bits, cells & ((1 << bits) - 1)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.15, beta: float = 1.0, l1: float = 2.0, l2: float = 0.5, epochs: int = 6, least_rows: int = 4, seed: int = 11) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 6, least_rows: int = 4, seed: int = 11) -> Model:
     """One row at a time, over features that at least ``least_rows`` different rows have; L1 leaves the bias alone."""
     rows = list({(r[0].tobytes(), r[1]): r for r in rows}.values())
     seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *[r[0] for r in rows]]), minlength=1 << bits) >= least_rows

@@ -8,10 +8,12 @@ from keyfold.llm.feistel import op8_feistel_shards
 from keyfold.llm.fm import op1_factorisation_machine
 from keyfold.llm.ftrl import op3_ftrl_toxicity
 from keyfold.llm.packing import op9_best_two_fit
+from keyfold.llm.pii import op4_weak_supervision_pii
 
 QUERIES = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
+    "op4_weak_supervision_pii": op4_weak_supervision_pii,
     "op7_word_table_bpe": op7_word_table_bpe,
     "op8_feistel_shards": op8_feistel_shards,
     "op9_best_two_fit": op9_best_two_fit,

@@ -76,7 +76,7 @@ def encoder(path: str, limit: int, version: str = "", words: pa.Array | None = N
     return _kept[key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or one row."""
     for b in batches:
         sizes = pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)
