@@ -66,23 +66,6 @@ def word_table(docs: DataFrame, path: str, text_col: str = "text", table_words:
     return counts.filter(F.col("n") >= least).mapInArrow(encoded, "word binary, n long, ids binary")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 19) -> DataFrame:
-    """id and ``ids`` (little-endian unsigned 32-bit integers) of every row."""
-    spark = docs.sparkSession
-    known = word_table(docs, path, text_col, table_words).select("word", "ids").toArrow().combine_chunks()
-    version = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((known.column(0).cast(pa.large_binary()).combine_chunks(), known.column(1).cast(pa.large_binary()).combine_chunks()))
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, table_words + (1 << 18), version, *sent.value)
-        for b in slices(batches, 1):
-            words, starts = split(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), grouped(own.encode(words), starts).cast(pa.binary())], names=[id_col, "ids"])
-
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(ids, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids binary")
-
-
 def byte_pieces(path: str) -> pa.Array:
     """The bytes of each id of a byte-level vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -95,19 +78,45 @@ def byte_pieces(path: str) -> pa.Array:
     return pa.array([piece(names.get(i, "")) for i in range(max(names) + 1)], pa.large_binary())
 
 
+def texts_of(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """Join each id with its piece; bytes that are no UTF-8 become U+FFFD, as in the library."""
+    data, at = bytes_of(ids, np.arange(len(ids) + 1))
+    flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<u4")
+    out, ends = bytes_of(pieces.take(pa.array(flat)), (at - at[0]) // 4)
+    return pa.array([bytes(out[i:j]).decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])], pa.string())
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 1 << 19, decoded: bool = False) -> DataFrame:
+    """id and ``ids`` (little-endian unsigned 32-bit integers) of every row; with ``decoded`` also their text, made in the same task."""
+    spark = docs.sparkSession
+    known = word_table(docs, path, text_col, table_words).select("word", "ids").toArrow().combine_chunks()
+    version = uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((known.column(0).cast(pa.large_binary()).combine_chunks(), known.column(1).cast(pa.large_binary()).combine_chunks()))
+    pieces = byte_pieces(path) if decoded else None
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path, table_words + (1 << 17), version, *sent.value)
+        for b in slices(batches, 1):
+            words, starts = split(b.column(1))
+            found = grouped(own.encode(words), starts)
+            cols = {id_col: b.column(0), "ids": found.cast(pa.binary())}
+            if decoded:
+                cols["decoded"] = texts_of(found, pieces)
+            yield pa.RecordBatch.from_pydict(cols)
+
+    rows = docs.select(F.col(id_col), whole_text(text_col).alias("text"))
+    return rows.mapInArrow(ids, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids binary" + ", decoded string" * decoded)
+
+
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``rows`` with the text of their ids; bytes that are no UTF-8 become U+FFFD, as in the library."""
+    """``rows`` with the text of their ids."""
     pieces = byte_pieces(path)  # bounded by the vocabulary
     others = [c for c in rows.columns if c != name]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, others.index(ids_col)):
-            column = b.column(b.schema.get_field_index(ids_col)).cast(pa.large_binary())
-            data, at = bytes_of(column, np.arange(len(column) + 1))
-            flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view("<u4")
-            out, ends = bytes_of(pieces.take(pa.array(flat.astype(np.int64))), (at - at[0]) // 4)
-            text = [bytes(out[i:j]).decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in others], pa.array(text, pa.string())], names=[*others, name])
+            text = texts_of(b.column(b.schema.get_field_index(ids_col)).cast(pa.large_binary()), pieces)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in others], text], names=[*others, name])
 
     kinds = dict(rows.dtypes)
     return rows.select(*others).mapInArrow(texts, ", ".join(f"`{c}` {kinds[c]}" for c in others) + f", `{name}` string")
@@ -115,7 +124,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", name: str = "decode
 
 def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

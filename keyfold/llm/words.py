@@ -85,6 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 6 << 20)
         for i, j in zip(cuts[:-1], cuts[1:]):
             if j > i:
                 yield b.slice(i, j - i)
+                pa.default_memory_pool().release_unused()
 
 
 class Encoder:
