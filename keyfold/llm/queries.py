@@ -7,11 +7,13 @@ from keyfold.llm.content_sort import OP10_SQL, op10_content_sort
 from keyfold.llm.feistel import op8_feistel_shards
 from keyfold.llm.fm import op1_factorisation_machine
 from keyfold.llm.ftrl import op3_ftrl_toxicity
+from keyfold.llm.jaccard import op2_prefix_jaccard
 from keyfold.llm.packing import op9_best_two_fit
 from keyfold.llm.pii import op4_weak_supervision_pii
 
 QUERIES = {
     "op1_factorisation_machine": op1_factorisation_machine,
+    "op2_prefix_jaccard": op2_prefix_jaccard,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_weak_supervision_pii": op4_weak_supervision_pii,
     "op7_word_table_bpe": op7_word_table_bpe,
