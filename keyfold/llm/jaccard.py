@@ -3,19 +3,21 @@
 Rare-first prefix filtering. A document's set is ordered by how common its
 n-grams are, and only the first ``n - ceil(t n) + 1`` of the n in the set (its
 prefix) are joined: two sets that reach the threshold share one of them. How
-common an n-gram is is counted over all documents for a fixed part of the
-n-grams (those whose hash is low; a prefix seldom needs others), and the
-``heavy`` most common of those counted ``heavy_from`` times or more go to every
+common an n-gram is is counted over all documents, in full for a fixed part of
+the n-grams (those whose hash is low; a prefix seldom needs others) and by its
+repeats within slices of the corpus for the rest, and the ``heavy`` most common of those counted ``heavy_from`` times or more go to every
 task; any order that is the same everywhere keeps the join exact.
 
 Documents with equal sets form a class and are joined as one. Within the
 documents that share a prefix n-gram, pairs are not all made: first each is
 paired with a centre (the one with the fewest n-grams of its own), links are
-verified, and components formed; then, only where an n-gram's documents are
-still in several components, those outside the largest one are paired with all
-the others. Pairs must pass the length and positional filters when they are
-made; each pair is verified once, by a suffix filter (overlap of the two sets
-counted in hash ranges) and then by its exact overlap.
+verified, and components formed; where an n-gram's documents are still in
+several components, those outside the largest one are paired with a few more
+centres from it; and what is outside even then is paired with all the others.
+Pairs must pass the length and positional filters and, as a suffix filter, a
+bound on the n-grams in which the sets differ (256 parity bits of each set);
+each pair is verified once, by the overlap counted in hash ranges and then by
+the exact overlap.
 
 N-grams are compared by 64-bit hashes. Defined cases: a text with fewer words
 than n is one n-gram as a whole; null texts, empty texts and texts without words
@@ -42,6 +44,8 @@ from keyfold.llm.shared import saved, table, whole_text
 from keyfold.llm.words import slices
 
 RANGES = 64
+BITS = ("k0", "k1", "k2", "k3")
+CENTRES = 8
 
 
 def _mix(z: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -107,6 +111,20 @@ def signatures(gram: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
+def sketches(gram: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """256 parity bits of each set, as four integers: two sets differ in at least as many n-grams as bits."""
+    bit = np.uint64(1) << ((gram >> np.uint64(56)) & np.uint64(63))
+    word = gram >> np.uint64(62)
+    out = []
+    full = np.flatnonzero(np.diff(starts))
+    for k in range(4):
+        parity = np.zeros(len(starts) - 1, dtype=np.uint64)
+        if len(full):
+            parity[full] = np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), starts[full])
+        out.append(parity.view(np.int64))
+    return out
+
+
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
@@ -129,13 +147,19 @@ def prefixes(gram: np.ndarray, starts: np.ndarray, percent: int, low: np.uint64,
 
 
 def heavy_ngrams(rows: DataFrame, n: int, low: np.uint64, heavy_from: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common n-grams below ``low`` with their counts over all texts, at most ``heavy`` of them."""
+    """The most common n-grams with their counts over all texts, at most ``heavy`` of them.
+
+    Below ``low`` every occurrence counts; above it those in slices of the
+    corpus that hold the n-gram more than once, which is where very common
+    lines and passages show.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
             gram, _ = sets(b.column(0), n)
-            found, c = np.unique(gram[gram < low], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c)], names=["g", "c"])
+            found, c = np.unique(gram, return_counts=True)
+            told = (found < low) | (c > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[told].view(np.int64)), pa.array(c[told])], names=["g", "c"])
 
     counts = rows.select("text").mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= heavy_from)
     counts = saved(counts, "heavy")
@@ -199,10 +223,10 @@ def near_duplicates(
         for b in slices(batches, 1):
             gram, starts = sets(b.column(1), n)
             s, t = signatures(gram, starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(starts)), pa.array(s), pa.array(t)], names=["id", "n", "node", "check"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts)))], names=["id", "n", "node", "check", *BITS])
 
-    all_rows = saved(rows.mapInArrow(described, f"id {kind}, n long, node long, check long"), "sets")
-    classes = saved(all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class")), "classes")
+    all_rows = saved(rows.mapInArrow(described, f"id {kind}, n long, node long, check long, " + ", ".join(f"{k} long" for k in BITS)), "sets")
+    classes = saved(all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class"), *[F.first(k).alias(k) for k in BITS]), "classes")
 
     g, c = heavy_ngrams(rows, n, low, heavy_from, heavy)
     sent = docs.sparkSession.sparkContext.broadcast((g, c))
@@ -230,32 +254,50 @@ def near_duplicates(
         most = F.least(at1, at2) + 1 + F.least(F.col(n1) - F.col(at1) - 1, F.col(n2) - F.col(at2) - 1)
         return (short * 100 >= long_ * percent) & (most >= need)
 
+    def near(n1: str, bits1: list[str], n2: str, bits2: list[str]):
+        """Whether the parity bits leave the threshold possible: at most n1 + n2 - 2 * overlap n-grams differ."""
+        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2)), F.lit(0))
+        need = F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
+        return differ <= F.col(n1) + F.col(n2) - 2 * need
+
+    def marked(letter: str, name: str) -> DataFrame:
+        return classes.select(F.col("node").alias(letter), F.col("class").alias(name), F.col("n").alias(f"n_{letter}"), *[F.col(k).alias(f"{k}_{letter}") for k in BITS])
+
     def by_class(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes as pairs of classes, each once."""
-        name = classes.select("node", "class")
-        out = pairs.join(name.select(F.col("node").alias("x"), F.col("class").alias("a")), "x").join(name.select(F.col("node").alias("y"), F.col("class").alias("b")), "y")
-        return out.filter("a <> b").select(F.col("a"), F.col("b"))
-
-    stars = shared.filter(F.col("node") != F.col("node_c")).filter(possible("n", "at", "n_c", "at_c")).select(F.col("node_c").alias("x"), F.col("node").alias("y")).distinct()
-    stars = saved(by_class(stars), "stars")
-    seen = stars.select(F.col("a").alias("class")).union(stars.select("b"))
-    texts = rows.join(seen.distinct(), F.col("id") == F.col("class"), "left_semi").select(F.col("id").alias("class"), "text").dropDuplicates(["class"])
-    links = saved(verified(stars, texts, n, percent), "links")
-
-    # documents of an n-gram that are still in several components
-    part = components(links).withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
-    members = shared.join(part, "node", "left").withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").cast("string").alias("value")))
-    members = members.select("g", "node", "n", "at", "node_c", "component")
-    main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    members = saved(members.join(main.select("g", F.col("m.component").alias("main")), "g"), "members")
-    fewer = members.filter("component <> main").select("g", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("c_x"))
-    others = members.select("g", F.col("node").alias("y"), "n", "at", "component", "node_c", "main")
+        """Pairs of nodes (x, y) as pairs of classes (a, b), without those that the parity bits rule out."""
+        out = pairs.join(marked("x", "a"), "x").join(marked("y", "b"), "y").filter("a <> b")
+        return out.filter(near("n_x", [f"{k}_x" for k in BITS], "n_y", [f"{k}_y" for k in BITS])).select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = saved(by_class(pairs.distinct()), "pairs")
+        seen = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        texts = rows.join(seen, F.col("id") == F.col("class"), "left_semi").select(F.col("id").alias("class"), "text").dropDuplicates(["class"])
+        return saved(verified(pairs, texts, n, percent), "links")
+
+    def divided(links: DataFrame) -> DataFrame:
+        """Members of the n-grams whose documents are in several components, with each n-gram's largest one."""
+        part = components(links).withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
+        members = shared.join(part, "node", "left").withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").cast("string").alias("value")))
+        members = members.select("g", "node", "n", "at", "node_c", "component")
+        main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+        return saved(members.join(main.select("g", F.col("m.component").alias("main")), "g"), "members")
+
+    stars = shared.filter(F.col("node") != F.col("node_c")).filter(possible("n", "at", "n_c", "at_c")).select(F.col("node_c").alias("x"), F.col("node").alias("y"))
+    links = linked(stars)
+
+    # a few more centres from the largest component of each n-gram
+    members = divided(links)
+    some = members.filter("component = main").groupBy("g").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(CENTRES)])).alias("x"))
+    more = members.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("node_c"))).join(some, "g").select(F.explode("x").alias("x"), F.col("node").alias("y"))
+    links = saved(links.union(linked(more)), "links")
+
+    # whatever is still outside is paired with all members of other components
+    members = divided(links).join(classes.select("node", *BITS), "node")
+    fewer = members.filter("component <> main").select("g", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("c_x"), *[F.col(k).alias(f"{k}_x") for k in BITS])
+    others = members.select("g", F.col("node").alias("y"), "n", "at", "component", "node_c", "main", *BITS)
     rest = fewer.join(others, "g").filter((F.col("c_x") != F.col("component")) & (F.col("y") != F.col("node_c")) & (F.col("x") != F.col("node_c")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y"))))
-    rest = rest.filter(possible("n_x", "at_x", "n", "at")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    rest = saved(by_class(rest), "rest")
-    seen = rest.select(F.col("a").alias("class")).union(rest.select("b"))
-    texts = rows.join(seen.distinct(), F.col("id") == F.col("class"), "left_semi").select(F.col("id").alias("class"), "text").dropDuplicates(["class"])
-    links = saved(links.union(verified(rest, texts, n, percent)), "links")
+    rest = rest.filter(possible("n_x", "at_x", "n", "at") & near("n_x", [f"{k}_x" for k in BITS], "n", list(BITS)))
+    links = saved(links.union(linked(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))), "links")
 
     component = components(links).withColumnRenamed("node", "class")
     known = classes.join(component, "class", "left").select("n", "node", "check", "class", F.coalesce("component", "class").alias("component"))
