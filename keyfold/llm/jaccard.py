@@ -46,6 +46,7 @@ from keyfold.llm.words import slices
 RANGES = 64
 BITS = ("k0", "k1", "k2", "k3")
 CENTRES = 8
+SLICE = 4 << 20
 
 
 def _mix(z: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -90,25 +91,29 @@ def sets(text: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
                 value[more] = _mix(value[more]) * A1 + h[first[short[more]] + k]
             gram = np.concatenate([gram, _mix(value, 1_000_003) ^ count[short].astype(np.uint64)])
             row_of = np.concatenate([row_of, short])
-    order = np.lexsort((gram, row_of))
-    gram, row_of = gram[order], row_of[order]
+    starts = np.searchsorted(row_of, np.arange(rows + 1)) if not len(short) else None
+    if starts is None:  # the rows of few words came last
+        order = np.argsort(row_of, kind="stable")
+        gram, row_of = gram[order], row_of[order]
+        starts = np.searchsorted(row_of, np.arange(rows + 1))
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        gram[i:j].sort()
     new = np.ones(len(gram), dtype=bool)
     new[1:] = (gram[1:] != gram[:-1]) | (row_of[1:] != row_of[:-1])
-    gram, row_of = gram[new], row_of[new]
-    return gram, np.searchsorted(row_of, np.arange(rows + 1))
+    return gram[new], np.concatenate([[0], np.cumsum(new)])[starts]
 
 
-def signatures(gram: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that tell sets apart."""
+def signatures(gram: np.ndarray, starts: np.ndarray, many: int = 2) -> list[np.ndarray]:
+    """64-bit sums that tell sets apart."""
     out = []
-    for salt in (11, 12):
+    for salt in range(11, 11 + many):
         total = np.zeros(len(starts) - 1, dtype=np.uint64)
         full = np.flatnonzero(np.diff(starts))
         if len(full):
             with np.errstate(over="ignore"):
                 total[full] = np.add.reduceat(_mix(gram, salt), starts[full])
         out.append(_mix(total).view(np.int64))
-    return out[0], out[1]
+    return out
 
 
 def sketches(gram: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -129,21 +134,41 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
 
-def prefixes(gram: np.ndarray, starts: np.ndarray, percent: int, low: np.uint64, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+class Order:
+    """The order of n-grams that every task shares: a class of commonness (6 bits), then the hash."""
+
+    def __init__(self, low: np.uint64, heavy: np.ndarray, counts: np.ndarray):
+        self.low, self.heavy = low, heavy
+        self.level = np.minimum(63, 2 + 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[heavy >> np.uint64(42)] = True
+
+    def keys(self, gram: np.ndarray) -> np.ndarray:
+        level = np.where(gram < self.low, np.uint64(0), np.uint64(1))
+        at = np.flatnonzero(self.maybe[gram >> np.uint64(42)])
+        if len(at):
+            found = np.minimum(np.searchsorted(self.heavy, gram[at]), len(self.heavy) - 1)
+            hit = self.heavy[found] == gram[at]
+            level[at[hit]] = self.level[found[hit]]
+        return (level << np.uint64(58)) | (gram >> np.uint64(6))
+
+
+def prefixes(gram: np.ndarray, starts: np.ndarray, percent: int, order: Order) -> tuple[np.ndarray, ...]:
     """Row, n-gram and position of each row's prefix, and how many of it are not heavy."""
     size = np.diff(starts)
-    row = np.repeat(np.arange(len(size)), size)
-    rank = np.where(gram < low, 0, 1).astype(np.int64)
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, gram), len(heavy) - 1)
-        hit = heavy[at] == gram
-        rank[hit] = 2 + counts[at[hit]]
-    order = np.lexsort((gram, rank, row))
-    position = np.arange(len(gram)) - np.repeat(starts[:-1], size)
+    key = order.keys(gram)
     length = np.where(size > 0, size - _need(size, percent) + 1, 0)
-    taken = position < np.repeat(length, size)
-    light = np.bincount(row[taken], rank[order][taken] < 2, minlength=len(size)).astype(np.int64)
-    return row[taken], gram[order][taken], position[taken], light
+    picked = []
+    for i, j, p in zip(starts[:-1].tolist(), starts[1:].tolist(), length.tolist()):
+        if j > i:
+            k = key[i:j]
+            part = np.argpartition(k, p - 1)[:p] if p < j - i else np.arange(j - i)
+            picked.append(part[np.argsort(k[part], kind="stable")] + i)
+    at = np.concatenate([np.zeros(0, dtype=np.int64), *picked])
+    row = np.repeat(np.arange(len(size)), length)
+    position = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+    light = np.bincount(row, (key[at] >> np.uint64(58)) < 2, minlength=len(size)).astype(np.int64)
+    return row, gram[at], position, light
 
 
 def heavy_ngrams(rows: DataFrame, n: int, low: np.uint64, heavy_from: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +180,7 @@ def heavy_ngrams(rows: DataFrame, n: int, low: np.uint64, heavy_from: int, heavy
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, SLICE):
             gram, _ = sets(b.column(0), n)
             found, c = np.unique(gram, return_counts=True)
             told = (found < low) | (c > 1)
@@ -220,7 +245,7 @@ def near_duplicates(
     low = np.uint64(min(2**64 - 1, int(2**64 * 2.5 * (100 - percent) / 100)))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, SLICE):
             gram, starts = sets(b.column(1), n)
             s, t = signatures(gram, starts)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts)))], names=["id", "n", "node", "check", *BITS])
@@ -232,18 +257,19 @@ def near_duplicates(
     sent = docs.sparkSession.sparkContext.broadcast((g, c))
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0):
+        order = Order(low, *sent.value)
+        for b in slices(batches, 0, SLICE):
             gram, starts = sets(b.column(0), n)
-            node, _ = signatures(gram, starts)
+            node = signatures(gram, starts, 1)[0]
             size = np.diff(starts)
-            row, value, position, light = prefixes(gram, starts, percent, low, *sent.value)
+            row, value, position, light = prefixes(gram, starts, percent, order)
             first = np.zeros(len(size), dtype=bool)
             first[np.unique(node, return_index=True)[1]] = True  # equal sets of a slice once
             k = first[row]
             row = row[k]
             yield pa.RecordBatch.from_arrays([pa.array(value[k].view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32)), pa.array(position[k].astype(np.int32)), pa.array(light[row].astype(np.int32))], names=["g", "node", "n", "at", "own"])
 
-    postings = rows.select("text").mapInArrow(prefixed, "g long, node long, n int, at int, own int")
+    postings = saved(rows.select("text").mapInArrow(prefixed, "g long, node long, n int, at int, own int"), "prefixes")
     centre = postings.groupBy("g").agg(F.min(F.struct("own", "node", "n", "at")).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
     centre = centre.select("g", F.col("c.node").alias("node_c"), F.col("c.n").alias("n_c"), F.col("c.at").alias("at_c"))
     shared = saved(postings.join(centre, "g"), "postings")  # what has an n-gram in common with another set
@@ -285,10 +311,13 @@ def near_duplicates(
     stars = shared.filter(F.col("node") != F.col("node_c")).filter(possible("n", "at", "n_c", "at_c")).select(F.col("node_c").alias("x"), F.col("node").alias("y"))
     links = linked(stars)
 
-    # a few more centres from the largest component of each n-gram
+    # a few more centres from the largest component of an n-gram, where it has many members
     members = divided(links)
-    some = members.filter("component = main").groupBy("g").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(CENTRES)])).alias("x"))
-    more = members.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("node_c"))).join(some, "g").select(F.explode("x").alias("x"), F.col("node").alias("y"))
+    main = members.filter("component = main").groupBy("g").agg(F.count("*").alias("k"), *[F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
+    some = main.filter(F.col("k") >= CENTRES).select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+    some = some.select("g", F.col("c.node").alias("x"), F.col("c.n").alias("n_x"), F.col("c.at").alias("at_x"))
+    outside = members.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("node_c"))).select("g", F.col("node").alias("y"), "n", "at")
+    more = outside.join(some, "g").filter(possible("n_x", "at_x", "n", "at")).select("x", "y")
     links = saved(links.union(linked(more)), "links")
 
     # whatever is still outside is paired with all members of other components
