@@ -136,7 +136,7 @@ def top_k(
         load = lambda t, i: tuple(np.frombuffer(t.column(c)[i].as_py(), "<i8") for c in ("ids", "rows"))
         q_ids, q_rows = load(q, 0)
         qs = np.frombuffer(q.column("m")[0].as_py(), "<i8").reshape(len(q_ids), dim)
-        index = [(*load(b, i), np.frombuffer(b.column("m")[i].as_py(), "<i8").reshape(-1, dim)) for i in range(len(b))]
+        index = [(ids, at, np.frombuffer(b.column("m")[i].as_py(), "<i8").reshape(len(ids), dim)) for i in range(len(b)) for ids, at in [load(b, i)]]
         high, low = np.stack([m.max(axis=0) for *_, m in index]), np.stack([m.min(axis=0) for *_, m in index])
         bound = product(np.maximum(qs, 0), high) + product(np.minimum(qs, 0), low)
         least = np.full(len(qs), np.iinfo(np.int64).min)

@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keyfold.common import numbered, saved, shared_dir, shuffle_partitions, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only where the session has none (tests on one machine) a temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keyfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there.
-
-    A lost executor costs no more than the tasks that read these files.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["crc_mod", "numbered", "saved", "shared_dir", "shuffle_partitions", "table", "whole_text"]
 
 
 def whole_text(text: str = "text") -> Column:
@@ -46,25 +17,3 @@ def whole_text(text: str = "text") -> Column:
 def crc_mod(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
-
-
-def numbered(df: DataFrame, keys: list[Column | str], name: str = "row_no", partitions: int | None = None) -> DataFrame:
-    """Number the rows 0, 1, ... in the order of ``keys`` without a single-task sort.
-
-    Sampled splitters range-partition the rows, each task sorts its range, and
-    the place in the task plus the rows of the ranges before gives the number.
-    The driver sees one count for each range. Rows that are equal in all keys
-    are numbered in any order among themselves.
-    """
-    spark = df.sparkSession
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    out = saved(
-        df.repartitionByRange(partitions or shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
-        "numbered",
-    )
-    before, total = [], 0
-    for p, n in sorted(tuple(r) for r in out.groupBy(part.alias("p")).count().collect()):
-        before.append((int(p), total))
-        total += n
-    starts = spark.createDataFrame(before, "_part long, _before long")
-    return out.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before", "_at")
