@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_
     known = labelled(rows, labels, label, learn, train_rows, id_col).select("label", "_text", *[f"_m{i}" for i in range(len(metadata))])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 3 << 20):
             r, f, x = features(b.column(1), b.columns[2:], word_bits)
             ends = np.searchsorted(r, np.arange(len(b) + 1))
             cut = [(f[i:j].astype("<i4").tobytes(), x[i:j].astype("<f4").tobytes()) for i, j in zip(ends[:-1], ends[1:])]
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", metadata: tuple
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, len(others)):
+        for b in slices(batches, len(others), 3 << 20):
             k = len(others)
             r, f, x = features(b.column(k), b.columns[k + 1 :], m.word_bits)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(m.score(r, f, x, len(b)))], names=[*others, name])

@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_co
     known = labelled(rows, labels, label, learn, train_rows, id_col).select("label", "_text")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 3 << 20):
             r, f = grams(b.column(1), bits)
             ends = np.searchsorted(r, np.arange(len(b) + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())], names=["label", "f"])
@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         w = m.dense()
         wanted = w != 0
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 3 << 20):
             r, f = grams(b.column(1), m.bits, wanted)
             z = m.bias + np.bincount(r, w[f], minlength=len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[id_col, "score"])
