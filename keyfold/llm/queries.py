@@ -8,7 +8,7 @@ from keyfold.llm.content_sort import OP10_SQL, op10_content_sort
 from keyfold.llm.feistel import op8_feistel_shards
 from keyfold.llm.fm import op1_factorisation_machine
 from keyfold.llm.ftrl import op3_ftrl_toxicity
-from keyfold.llm.jaccard import op2_prefix_jaccard
+from keyfold.llm.jaccard import OP2_SQL, op2_prefix_jaccard
 from keyfold.llm.packing import op9_best_two_fit
 from keyfold.llm.pii import op4_weak_supervision_pii
 from keyfold.llm.urls import op5_association_rules
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_prefix_jaccard": OP2_SQL,
     "op6_block_pruning": OP6_SQL,
     "op10_content_sort": OP10_SQL,
 }
