@@ -14,10 +14,10 @@ paired with a centre (the one with the fewest n-grams of its own), links are
 verified, and components formed; where an n-gram's documents are still in
 several components, those outside the largest one are paired with a few more
 centres from it; and what is outside even then is paired with all the others.
-Pairs must pass the length and positional filters and, as a suffix filter, a
-bound on the n-grams in which the sets differ (256 parity bits of each set);
-each pair is verified once, by the overlap counted in hash ranges and then by
-the exact overlap.
+Pairs must pass the length and positional filters and, as suffix filters, two
+bounds on the n-grams in which the sets differ (256 parity bits, then counts in
+256 hash ranges of each set); the texts of those that are left are joined, and
+each pair is verified once by its exact overlap.
 
 N-grams are compared by 64-bit hashes. Defined cases: a text with fewer words
 than n is one n-gram as a whole; null texts, empty texts and texts without words
@@ -43,7 +43,6 @@ from keyfold.llm.features import A1, A2
 from keyfold.llm.shared import saved, table, whole_text
 from keyfold.llm.words import slices
 
-RANGES = 64
 BITS = ("k0", "k1", "k2", "k3")
 CENTRES = 8
 SLICE = 4 << 20
@@ -130,6 +129,33 @@ def sketches(gram: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def histograms(gram: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """How many n-grams of each set fall into each of 256 hash ranges, a byte each: sets differ in at least the sum of differences."""
+    rows = len(starts) - 1
+    cell = np.repeat(np.arange(rows), np.diff(starts)) << 8 | (gram >> np.uint64(56)).astype(np.int64)
+    counts = np.minimum(np.bincount(cell, minlength=rows << 8), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, (rows << 8) + 1, 256, dtype=np.int32)), pa.py_buffer(counts)])
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose histograms leave the threshold possible."""
+    one = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"h_{c}"))
+    rows = pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "n_a", "n_b", "h_a", "h_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), 4096):
+                b = whole.slice(k, 4096)
+                na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+                ha, hb = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(len(b), 256).astype(np.int16) for c in (4, 5))
+                need = -(-percent * (na + nb) // (100 + percent))
+                keep = pa.array(np.abs(ha - hb).sum(axis=1) <= na + nb - 2 * need)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    kind = dict(pairs.dtypes)["a"]
+    return rows.mapInArrow(check, f"a {kind}, b {kind}")
+
+
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
@@ -210,16 +236,12 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 left = b.column(2).dictionary_encode()
                 ga, sa = sets(left.dictionary, n)
                 gb, sb = sets(b.column(3), n)
-                shift = np.uint64(64 - RANGES.bit_length() + 1)
                 ok = np.zeros(len(b), dtype=bool)
                 for i, k in enumerate(left.indices.to_numpy()):
                     x, y = ga[sa[k] : sa[k + 1]], gb[sb[i] : sb[i + 1]]
                     need = -(-percent * (len(x) + len(y)) // (100 + percent))
                     if min(len(x), len(y)) < need or not need:
                         continue
-                    most = np.minimum(np.bincount(x >> shift, minlength=RANGES), np.bincount(y >> shift, minlength=RANGES)).sum()
-                    if most < need:
-                        continue
                     at = np.searchsorted(x, y)
                     at[at == len(x)] = 0
                     ok[i] = int((x[at] == y).sum()) >= need
@@ -248,10 +270,10 @@ def near_duplicates(
         for b in slices(batches, 1, SLICE):
             gram, starts = sets(b.column(1), n)
             s, t = signatures(gram, starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts)))], names=["id", "n", "node", "check", *BITS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts))), histograms(gram, starts)], names=["id", "n", "node", "check", *BITS, "hist"])
 
-    all_rows = saved(rows.mapInArrow(described, f"id {kind}, n long, node long, check long, " + ", ".join(f"{k} long" for k in BITS)), "sets")
-    classes = saved(all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class"), *[F.first(k).alias(k) for k in BITS]), "classes")
+    all_rows = saved(rows.mapInArrow(described, f"id {kind}, n long, node long, check long, " + ", ".join(f"{k} long" for k in BITS) + ", hist binary"), "sets")
+    classes = saved(all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class"), *[F.first(k).alias(k) for k in (*BITS, "hist")]), "classes")
 
     g, c = heavy_ngrams(rows, n, low, heavy_from, heavy)
     sent = docs.sparkSession.sparkContext.broadcast((g, c))
@@ -295,14 +317,19 @@ def near_duplicates(
         return out.filter(near("n_x", [f"{k}_x" for k in BITS], "n_y", [f"{k}_y" for k in BITS])).select("a", "b")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = saved(by_class(pairs.distinct()), "pairs")
+        pairs = saved(near_enough(by_class(pairs.distinct()), classes, percent), "pairs")
+        if not some(pairs):
+            return pairs
         seen = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         texts = rows.join(seen, F.col("id") == F.col("class"), "left_semi").select(F.col("id").alias("class"), "text").dropDuplicates(["class"])
         return saved(verified(pairs, texts, n, percent), "links")
 
-    def divided(links: DataFrame) -> DataFrame:
+    def some(df: DataFrame) -> bool:
+        return bool(df.limit(1).count())
+
+    def divided(component: DataFrame) -> DataFrame:
         """Members of the n-grams whose documents are in several components, with each n-gram's largest one."""
-        part = components(links).withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
+        part = component.withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
         members = shared.join(part, "node", "left").withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").cast("string").alias("value")))
         members = members.select("g", "node", "n", "at", "node_c", "component")
         main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
@@ -310,25 +337,32 @@ def near_duplicates(
 
     stars = shared.filter(F.col("node") != F.col("node_c")).filter(possible("n", "at", "n_c", "at_c")).select(F.col("node_c").alias("x"), F.col("node").alias("y"))
     links = linked(stars)
+    component = components(links)
 
     # a few more centres from the largest component of an n-gram, where it has many members
-    members = divided(links)
+    members = divided(component)
     main = members.filter("component = main").groupBy("g").agg(F.count("*").alias("k"), *[F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
-    some = main.filter(F.col("k") >= CENTRES).select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
-    some = some.select("g", F.col("c.node").alias("x"), F.col("c.n").alias("n_x"), F.col("c.at").alias("at_x"))
+    centres = main.filter(F.col("k") >= CENTRES).select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+    centres = centres.select("g", F.col("c.node").alias("x"), F.col("c.n").alias("n_x"), F.col("c.at").alias("at_x"))
     outside = members.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("node_c"))).select("g", F.col("node").alias("y"), "n", "at")
-    more = outside.join(some, "g").filter(possible("n_x", "at_x", "n", "at")).select("x", "y")
-    links = saved(links.union(linked(more)), "links")
+    more = outside.join(centres, "g").filter(possible("n_x", "at_x", "n", "at")).select("x", "y")
+    found = linked(more)
+    if some(found):
+        links = saved(links.union(found), "links")
+        component = components(links)
+        members = divided(component)
 
     # whatever is still outside is paired with all members of other components
-    members = divided(links).join(classes.select("node", *BITS), "node")
+    members = members.join(classes.select("node", *BITS), "node")
     fewer = members.filter("component <> main").select("g", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("c_x"), *[F.col(k).alias(f"{k}_x") for k in BITS])
     others = members.select("g", F.col("node").alias("y"), "n", "at", "component", "node_c", "main", *BITS)
     rest = fewer.join(others, "g").filter((F.col("c_x") != F.col("component")) & (F.col("y") != F.col("node_c")) & (F.col("x") != F.col("node_c")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y"))))
     rest = rest.filter(possible("n_x", "at_x", "n", "at") & near("n_x", [f"{k}_x" for k in BITS], "n", list(BITS)))
-    links = saved(links.union(linked(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))), "links")
+    found = linked(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    if some(found):
+        component = components(links.union(found))
 
-    component = components(links).withColumnRenamed("node", "class")
+    component = component.withColumnRenamed("node", "class")
     known = classes.join(component, "class", "left").select("n", "node", "check", "class", F.coalesce("component", "class").alias("component"))
     out = all_rows.join(known, ["n", "node", "check"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
