@@ -19,7 +19,8 @@ bounds on the n-grams in which the sets differ (256 parity bits, then counts in
 256 hash ranges of each set); the texts of those that are left are joined, and
 each pair is verified once by its exact overlap.
 
-N-grams are compared by 64-bit hashes. Defined cases: a text with fewer words
+N-grams are compared by 64-bit hashes, as are the components within a prefix
+n-gram's documents. Defined cases: a text with fewer words
 than n is one n-gram as a whole; null texts, empty texts and texts without words
 have an empty set, size 0, and link with nothing; repeated rows are in one
 class; a row with a null identifier shares the component of the rows with the
@@ -330,7 +331,7 @@ def near_duplicates(
     def divided(component: DataFrame) -> DataFrame:
         """Members of the n-grams whose documents are in several components, with each n-gram's largest one."""
         part = component.withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
-        members = shared.join(part, "node", "left").withColumn("component", F.struct(F.col("component").isNull().alias("alone"), F.coalesce("component", "node").cast("string").alias("value")))
+        members = shared.join(part, "node", "left").withColumn("component", F.when(F.col("component").isNull(), F.xxhash64(F.lit(1), "node")).otherwise(F.xxhash64(F.lit(0), "component")))
         members = members.select("g", "node", "n", "at", "node_c", "component")
         main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
         return saved(members.join(main.select("g", F.col("m.component").alias("main")), "g"), "members")
