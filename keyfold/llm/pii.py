@@ -66,10 +66,13 @@ def _octets(hit: Column) -> Column:
     return F.forall(F.split(hit, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) < 4) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+(?=.)", ""), 1, 3).cast("int"), F.lit(0)) <= 255))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per match of any pattern (and one without a kind for a row that has none), with its votes."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per match of any pattern (and one without a kind for a row that has none), with its votes.
+
+    ``row_col``: a stored column that numbers the rows; without one they are numbered here, and only spans can be told by ``_row``.
+    """
     text = F.col("_t")
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), whole_text(text_col).alias("_t"))
+    rows = docs.select(F.col(id_col), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"), whole_text(text_col).alias("_t"))
     none = F.expr("CAST(array() AS array<string>)")
     only = lambda kind, c: F.when(F.contains(text, F.lit(NEEDS[kind])), c).otherwise(none) if kind in NEEDS else c
     rows = rows.select(
@@ -156,9 +159,9 @@ def classifier(patterns: list[tuple[tuple[int, ...], int]], posterior: dict[tupl
     return w
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.9) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.9, row_col: str | None = None) -> DataFrame:
     """All spans: id, _row, kind (null for a row without any), start, end, base, probability."""
-    hits = saved(candidates(docs, id_col, text_col), "pii")
+    hits = saved(candidates(docs, id_col, text_col, row_col), "pii")
     counted = hits.filter("kind IS NOT NULL").groupBy(*LABELERS).count().collect()  # at most 3 ** len(LABELERS) rows
     patterns = sorted((tuple(r[k] for k in LABELERS), r["count"]) for r in counted)
     weights = classifier(patterns, em(patterns))
@@ -195,20 +198,21 @@ def _joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; a null text stays null."""
-    docs = saved(docs, "pii_docs")
-    spans = find(docs, id_col, text_col).filter("kind IS NOT NULL")
+    kept = docs.columns
+    docs = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "pii_docs")  # stored: a later scan may be split otherwise
+    spans = find(docs, id_col, text_col, row_col="_row").filter("kind IS NOT NULL")
     order = W.partitionBy("_row").orderBy("start", "end", "kind")
     spans = spans.withColumn("_from", F.coalesce(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     cut = F.struct("start", "end", "kind", "_from")
     by_row = spans.groupBy("_row").agg(F.array_sort(F.collect_list(cut)).alias("_cuts"), F.max("end").alias("_end"))
-    out = docs.withColumn("_row", F.monotonically_increasing_id()).join(by_row, "_row", "left")
+    out = docs.join(by_row, "_row", "left")
     text = F.col(text_col)
     parts = F.transform(
         "_cuts",
         lambda s: F.when(s["start"] >= s["_from"], F.concat(F.substring(text, (s["_from"] + 1).cast("int"), (s["start"] - s["_from"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")),
     )
     new = F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), F.substring(text, (F.col("_end") + 1).cast("int"), F.char_length(text))))
-    return out.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[new.alias(c) if c == text_col else F.col(c) for c in kept])
 
 
 def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,22 @@ def test_personal_data(spark):
     assert all(not re.search(PLAIN["email"], t) for t in clean.values() if t)
 
 
+def test_redaction_when_later_scans_are_split_otherwise(spark):
+    rows = [(i, f"mail u{i}@site.org now" if i % 3 == 0 else f"clean {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    names = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    clean = pii.redact(df)
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["text"] for r in clean.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {i: "mail [EMAIL] now" if i % 3 == 0 else t for i, t in rows}
+
+
 def test_personal_data_adds_by_votes(spark):
     df = spark.createDataFrame([(1, "call (555) 123-4567 now"), (2, "page 1234567"), (3, "me [at] home [dot] org"), *[(10 + i, f"tel +1 (555) 555-12{i:02d}") for i in range(50)], *[(100 + i, f"order 99{i:02d}12345") for i in range(50)]], CLASH)
     got = defaultdict(list)
