@@ -6,7 +6,7 @@ Where none fits, association rules do: Spark's FP-growth mines combinations of
 URL tokens (scheme, host labels, registered domain, first path words, file
 type, query keys) together with the label of the document that the URL names,
 and rules that imply a label are kept if they pass the support, confidence and
-lift bounds. They match through an inverted index: each rule is filed under the
+conviction bounds, whatever the share of the label. They match through an inverted index: each rule is filed under the
 rarest token of its antecedent, a URL meets it by that token, and the rest of
 the antecedent is checked then. The most confident matching rule decides (ties:
 larger support, then the smaller antecedent); without any the verdict is allow.
@@ -70,18 +70,26 @@ def listed(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return rule, action
 
 
-def mine(tokens: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, lift: float = 1.5) -> DataFrame:
+def mine(tokens: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, conviction: float = 1.5) -> DataFrame:
     """antecedent, verdict, confidence, support of the rules that imply a label.
 
     ``tokens`` has tokens and the document number, ``labels`` document number and verdict.
+    A rule is kept if it errs at most 1/``conviction`` as often as its verdict would without it, which
+    can be met at any share of the verdict; from a confidence of 0.6, all rules of a lift of as much pass.
     """
     marked = tokens.join(labels, "number").select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
     marked = saved(marked, "transactions")
-    if not marked.limit(1).count():
+    counts = {x["verdict"]: x["count"] for x in marked.groupBy(F.substring(F.element_at("items", -1), 9, 16).alias("verdict")).count().collect()}
+    total = sum(counts.values())
+    if not total:
         return tokens.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
-    rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("verdict=")) & (F.col("lift") >= lift))
-    return saved(rules.select("antecedent", F.substring(F.col("consequent")[0], 9, 16).alias("verdict"), "confidence", "support"), "rules")
+    rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("verdict=")))
+    rules = rules.select("antecedent", F.substring(F.col("consequent")[0], 9, 16).alias("verdict"), "confidence", "support")
+    passes = F.lit(False)
+    for verdict, n in counts.items():
+        passes = passes | ((F.col("verdict") == verdict) & ((1 - F.col("confidence")) * conviction <= 1 - n / total))
+    return saved(rules.filter(passes), "rules")
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame, most_broadcast: int = 20_000) -> DataFrame:

@@ -372,6 +372,27 @@ def test_urls_mine_rules(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(400))
 
 
+@pytest.mark.parametrize("block", [0.2, 0.8, 1.0])
+def test_urls_keep_rules_of_a_common_verdict(spark, block):
+    hosts = {"spam": 200, "good": 0} if block == 1 else {"spam": int(200 * block), "good": 200 - int(200 * block)}
+    names = [h for h, n in hosts.items() for _ in range(n)]
+    rows = [(i, f"http://{h}.site.io/{'win' if i % 2 else 'news'}/{i}") for i, h in enumerate(names)]
+    df = spark.createDataFrame(rows + [(900, "http://spam.site.io/win/none"), (901, "http://good.site.io/win/none")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if h == "spam" else "allow") for i, h in enumerate(names)], "number long, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, labels).collect()}
+    assert got[900] == "block" and all(got[i] == ("block" if h == "spam" else "allow") for i, h in enumerate(names))
+    assert block == 1 or got[901] == "allow"
+
+
+def test_urls_confident_allow_rule_beats_a_weak_block_rule(spark):
+    """Of 100 URLs with "mixed" 60 are block, none of the 10 that also have "safe"; 80 % of all are allow."""
+    path = lambda i: "mixed/safe" if i < 10 else "mixed" if i < 100 else "plain"
+    df = spark.createDataFrame([(i, f"http://h.io/{path(i)}/{i}") for i in range(300)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if 40 <= i < 100 else "allow") for i in range(300)], "number long, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, labels).collect()}
+    assert all(got[i] == "allow" for i in range(10)) and all(got[i] == "block" for i in range(40, 100))
+
+
 # search
 
 
