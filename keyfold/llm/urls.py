@@ -3,12 +3,16 @@
 A listed rule (action, host, path) fits its host and all its subdomains where
 the URL's path starts with the rule's path; the longest fitting rule decides.
 Where none fits, association rules do: Spark's FP-growth mines combinations of
-URL tokens (scheme, host labels, registered domain, first path words, file
-type, query keys) together with the label of the document that the URL names,
+URL tokens (scheme, all host labels, registered domain, all path words without
+digits, file type, all query keys; long ones by their hash) together with the
+label of the document that the URL names,
 and rules that imply a label are kept if they pass the support, confidence and
 conviction bounds, whatever the share of the label. They match through an inverted index: each rule is filed under the
 rarest token of its antecedent, a URL meets it by that token, and the rest of
-the antecedent is checked then. The most confident matching rule decides (ties:
+the antecedent is checked then. Tokens that occur in the same labelled URLs are
+one item, which any of them stands for: a rule with one of them is as confident
+and as frequent as one with more, so verdicts stay and long URLs that many pages
+share are mined without all subsets of their tokens. The most confident matching rule decides (ties:
 larger support, then the smaller antecedent); without any the verdict is allow.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
@@ -19,6 +23,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -42,19 +47,19 @@ def part(url: str, group: int) -> Column:
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id, _row, host, path, tokens (distinct, at most a few dozen)."""
+    """id, _row, host, path, tokens (distinct)."""
     rows = pages.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.col(url_col).alias("_url"))
     rows = rows.select(id_col, "_row", "_url", F.translate(part("_url", 1), string.ascii_uppercase, string.ascii_lowercase).alias("host"), part("_url", 2).alias("path"), part("_url", 3).alias("_rest"))
-    labels, words = F.split("host", r"\."), F.slice(F.filter(F.split("path", "/"), lambda w: w != ""), 1, 4)
-    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    labels, words = F.split("host", r"\."), F.filter(F.split("path", "/"), lambda w: w != "")
+    named = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.when(F.length(c) < 64, c).otherwise(F.sha2(c.cast("binary"), 256)))
     one = lambda ok, c: F.when(ok, F.array(c)).otherwise(F.array().cast("array<string>"))
     tokens = F.concat(
         F.array(named("scheme", F.lower(F.substring_index("_url", "://", 1)))),
-        F.transform(F.slice(labels, 1, 6), lambda w: named("host", F.left(w, F.lit(64)))),
+        F.transform(labels, lambda w: named("host", w)),
         F.array(named("domain", F.substring_index("host", ".", -2)), named("top", F.substring_index("host", ".", -1))),
-        F.transform(F.filter(words, lambda w: ~w.rlike("[0-9]")), lambda w: named("path", F.left(w, F.lit(64)))),
+        F.transform(F.filter(words, lambda w: ~w.rlike("[0-9]")), lambda w: named("path", w)),
         one(F.col("path").rlike(r"\.[A-Za-z]{1,5}$"), named("type", F.lower(F.regexp_extract("path", r"\.([A-Za-z]{1,5})$", 1)))),
-        F.transform(F.slice(F.regexp_extract_all("_rest", F.lit(r"[?&]([A-Za-z_]{1,32})="), F.lit(1)), 1, 8), lambda w: named("key", w)),
+        F.transform(F.regexp_extract_all("_rest", F.lit(r"[?&]([A-Za-z_]++)="), F.lit(1)), lambda w: named("key", w)),
         one(F.contains("_rest", F.lit("#")), F.lit("fragment")),
     )
     empty = F.array().cast("array<string>")
@@ -70,38 +75,54 @@ def listed(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return rule, action
 
 
-def mine(tokens: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, conviction: float = 1.5) -> DataFrame:
-    """antecedent, verdict, confidence, support of the rules that imply a label.
+def same_urls(marked: DataFrame, least: int) -> DataFrame:
+    """token, item of the tokens in ``least`` rows or more; tokens of the same rows have the same item.
+
+    ``marked`` has _tx (a stored row number) and tokens. Rows are compared by their count and 128 bits of hashes.
+    """
+    uses = marked.select("_tx", F.explode("tokens").alias("token")).groupBy("token")
+    uses = uses.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_tx")).alias("x"), F.bit_xor(F.xxhash64("_tx", F.lit("again"))).alias("y")).filter(F.col("n") >= least)
+    uses = saved(uses, "token_uses")
+    return saved(uses.join(uses.groupBy("n", "x", "y").agg(F.min("token").alias("item")), ["n", "x", "y"]).select("token", "item"), "token_items")
+
+
+def mine(tokens: DataFrame, labels: DataFrame, support: float = 0.002, confidence: float = 0.6, conviction: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """antecedent (items), verdict, confidence, support of the rules that imply a label; and token, item.
 
     ``tokens`` has tokens and the document number, ``labels`` document number and verdict.
     A rule is kept if it errs at most 1/``conviction`` as often as its verdict would without it, which
     can be met at any share of the verdict; from a confidence of 0.6, all rules of a lift of as much pass.
     """
-    marked = tokens.join(labels, "number").select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items"))
-    marked = saved(marked, "transactions")
-    counts = {x["verdict"]: x["count"] for x in marked.groupBy(F.substring(F.element_at("items", -1), 9, 16).alias("verdict")).count().collect()}
+    marked = saved(tokens.join(labels, "number").select(F.monotonically_increasing_id().alias("_tx"), "tokens", "verdict"), "transactions")
+    counts = {x["verdict"]: x["count"] for x in marked.groupBy("verdict").count().collect()}
     total = sum(counts.values())
     if not total:
-        return tokens.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
+        none = tokens.sparkSession.createDataFrame
+        return none([], "antecedent array<string>, verdict string, confidence double, support double"), none([], "token string, item string")
+    items = same_urls(marked, math.ceil(support * total))  # at most the tokens of a URL / support
+    each = marked.select("_tx", "verdict", F.explode_outer("tokens").alias("token")).join(F.broadcast(items), "token", "left")
+    each = each.groupBy("_tx", "verdict").agg(F.collect_set("item").alias("items"))
+    each = saved(each.select(F.concat("items", F.array(F.concat(F.lit("verdict="), F.col("verdict")))).alias("items")), "transaction_items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(each)
     rules = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("verdict=")))
     rules = rules.select("antecedent", F.substring(F.col("consequent")[0], 9, 16).alias("verdict"), "confidence", "support")
     passes = F.lit(False)
     for verdict, n in counts.items():
         passes = passes | ((F.col("verdict") == verdict) & ((1 - F.col("confidence")) * conviction <= 1 - n / total))
-    return saved(rules.filter(passes), "rules")
+    return saved(rules.filter(passes), "rules"), items
 
 
-def apply_rules(rows: DataFrame, rules: DataFrame, most_broadcast: int = 20_000) -> DataFrame:
-    """``_row`` and the verdict of the best rule for each row that one matches."""
-    items = rules.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+def apply_rules(rows: DataFrame, rules: DataFrame, items: DataFrame, most_broadcast: int = 20_000) -> DataFrame:
+    """``_row`` and the verdict of the best rule for each row that one matches; ``items``: token, item."""
+    small = lambda df: F.broadcast(df) if df.count() <= most_broadcast else df
+    used = saved(items.join(rules.select(F.explode("antecedent").alias("item")).distinct(), "item", "left_semi"), "used_items")
+    rows = rows.select("_row", F.explode("tokens").alias("token")).join(small(used), "token").groupBy("_row").agg(F.collect_set("item").alias("items"))
+    rows = saved(rows, "row_items")
     numbered = rules.withColumn("_rule", F.xxhash64(F.to_json(F.struct("antecedent", "verdict"))))
-    common = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(items.select("token"), "token", "left_semi")
-    rarest = numbered.select("_rule", F.explode("antecedent").alias("token")).join(common, "token").groupBy("_rule").agg(F.min(F.struct("n", "token")).alias("r"))
-    index = saved(numbered.join(rarest, "_rule").select(F.col("r.token").alias("token"), "antecedent", "verdict", "confidence", "support"), "rule_index")
-    if index.count() <= most_broadcast:
-        index = F.broadcast(index)
-    met = rows.select("_row", "tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+    common = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    rarest = numbered.select("_rule", F.explode("antecedent").alias("item")).join(common, "item").groupBy("_rule").agg(F.min(F.struct("n", "item")).alias("r"))
+    index = saved(numbered.join(rarest, "_rule").select(F.col("r.item").alias("item"), "antecedent", "verdict", "confidence", "support"), "rule_index")
+    met = rows.select("_row", "items", F.explode("items").alias("item")).join(small(index), "item").filter(F.size(F.array_except("antecedent", "items")) == 0)
     return met.groupBy("_row").agg(F.max(F.struct("confidence", "support", (-F.size("antecedent")).alias("short"), "verdict")).alias("m")).select("_row", F.col("m.verdict").alias("mined"))
 
 
@@ -109,11 +130,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str]
     """id, host, path, rule, verdict for every row of ``pages``; ``labels``: number, verdict."""
     rows = saved(parsed(pages, id_col, url_col), "urls")
     number = F.regexp_extract("path", r"/([0-9]{1,18})(?:[/.]|$)", 1)
-    found = mine(rows.filter("size(tokens) > 0").withColumn("number", F.when(number != "", number).cast("long")).filter("number IS NOT NULL").select("number", "tokens"), labels)
+    found, items = mine(rows.filter("size(tokens) > 0").withColumn("number", F.when(number != "", number).cast("long")).filter("number IS NOT NULL").select("number", "tokens"), labels)
     rule, action = listed(rules)
     out = rows.select(id_col, "_row", "host", "path", rule.alias("rule"), action.alias("_action"))
     if found.limit(1).count():
-        out = out.join(apply_rules(rows, found), "_row", "left")
+        out = out.join(apply_rules(rows, found, items), "_row", "left")
     else:
         out = out.withColumn("mined", F.lit(None).cast("string"))
     return out.select(id_col, "host", "path", "rule", F.coalesce("_action", "mined", F.lit("allow")).alias("verdict"))

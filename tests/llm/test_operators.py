@@ -393,6 +393,33 @@ def test_urls_confident_allow_rule_beats_a_weak_block_rule(spark):
     assert all(got[i] == "allow" for i in range(10)) and all(got[i] == "block" for i in range(40, 100))
 
 
+@pytest.mark.parametrize("place", ["path word", "host label", "key", "long word", "long key"])
+def test_urls_mine_all_of_a_url(spark, place):
+    def url(spam, i):
+        word = "casino" if spam else "garden"
+        deep = "/".join(f"part{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+        return {
+            "path word": f"http://h.io/1a/2b/3c/4d/{deep}/{word}/{i}",
+            "host label": f"http://a.b.c.d.e.f.{word}.h.site.io/{i}",
+            "key": f"http://h.io/{i}?" + "&".join(f"k{c}=1" for c in "abcdefghijkl") + f"&{word}=1",
+            "long word": f"http://h.io/{'x' * 70}{word}/{i}",
+            "long key": f"http://h.io/{i}?{'x' * 70}{word}=1",
+        }[place]
+
+    df = spark.createDataFrame([(i, url(i % 4 == 0, i)) for i in range(240)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 4 == 0 else "allow") for i in range(5, 200)], "number long, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df, labels).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(240))
+
+
+def test_urls_any_token_of_an_item_matches(spark):
+    """ "bad" and "worse" occur together in all labelled URLs, alone in others."""
+    rows = [(i, f"http://h.io/{'bad/worse' if i % 4 == 0 else 'fine'}/{i}") for i in range(100)] + [(200, "http://h.io/bad"), (201, "http://h.io/worse"), (202, "http://h.io/other")]
+    labels = spark.createDataFrame([(i, "block" if i % 4 == 0 else "allow") for i in range(100)], "number long, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    assert [got[i] for i in (200, 201, 202)] == ["block", "block", "allow"]
+
+
 # search
 
 
