@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.shared import saved
+from keyfold.llm.shared import dropped, saved
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,6 +24,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("further"))
         step = saved(step.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("component")), "labels")
-        if not step.filter("old <> component").limit(1).count():
-            return step.select("node", "component")
-        labels = step.select("node", "component")
+        dropped(labels)
+        done = not step.filter("old <> component").limit(1).count()
+        labels = step.drop("old")
+        labels._saved_at = step._saved_at
+        if done:
+            dropped(both)
+            return labels

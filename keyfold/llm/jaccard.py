@@ -9,23 +9,29 @@ repeats within slices of the corpus for the rest, and the ``heavy`` most common
 task; any order that is the same everywhere keeps the join exact.
 
 Documents with equal sets form a class and are joined as one. Within the
-documents that share a prefix n-gram, pairs are not all made: first each is
-paired with a centre (the one with the fewest n-grams of its own), links are
-verified, and components formed; where an n-gram's documents are still in
+documents that share a prefix n-gram, pairs are not all made. Postings are
+dealt by n-gram (a very common one also by a salt) and sorted; one pass pairs
+each set with the centre of its run, the set with the fewest n-grams of its own.
+Links are verified and components formed. Where an n-gram's sets are still in
 several components, those outside the largest one are paired with a few more
-centres from it; and what is outside even then is paired with all the others.
+centres from it, as long as that joins many of them. What is outside even then
+is paired with the sets of other components, each pair once: it is made by the
+first of the n-grams that the heads of both prefixes show.
 Pairs must pass the length and positional filters and, as suffix filters, two
 bounds on the n-grams in which the sets differ (256 parity bits, then counts in
 256 hash ranges of each set); the texts of those that are left are joined, and
-each pair is verified once by its exact overlap.
+each pair is verified once by its exact overlap. A set with very many pairs
+meets them in several tasks, its text once in each.
 
 N-grams are compared by 64-bit hashes, as are the components within a prefix
-n-gram's documents. Defined cases: a text with fewer words
-than n is one n-gram as a whole; null texts, empty texts and texts without words
-have an empty set, size 0, and link with nothing; repeated rows are in one
-class; a row with a null identifier shares the component of the rows with the
-same set, or has none; an empty table gives an empty result; other columns are
-ignored.
+n-gram's documents. ``docs`` is read several times and so should be a table, not
+a computation. Defined cases: a text with fewer words than n is one n-gram as a
+whole; null texts, empty texts and texts without words have an empty set, size
+0, and link with nothing; very long texts are worked on whole, one at a time;
+repeated rows are in one class; identifiers may repeat or be null: links follow
+texts, a row with a null identifier is in the component of its text, and a
+component's identifier is the smallest that is not null; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,16 +42,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyfold.llm.components import components
 from keyfold.llm.features import A1, A2
-from keyfold.llm.shared import saved, table, whole_text
+from keyfold.llm.shared import dropped, saved, table, whole_text
 from keyfold.llm.words import slices
 
-BITS = ("k0", "k1", "k2", "k3")
-CENTRES = 8
+BITS = ("p0", "p1", "p2", "p3")  # parity bits
+CENTRES = 8  # more centres of an n-gram in one turn
+TURNS = 4
+HEAD = 8  # n-grams by which a pair is recognised as made before
+SALTS = 16  # tasks over which one set's pairs are dealt
+RUN = 1 << 16  # uses of an n-gram that get a centre of their own
+GROUP = 1 << 12  # sets of an n-gram in one task when what is left is paired
+BROADCAST_ROWS = 200_000  # rows of three integers
 SLICE = 4 << 20
 
 
@@ -138,25 +151,6 @@ def histograms(gram: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, (rows << 8) + 1, 256, dtype=np.int32)), pa.py_buffer(counts)])
 
 
-def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms leave the threshold possible."""
-    one = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"h_{c}"))
-    rows = pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "n_a", "n_b", "h_a", "h_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), 4096):
-                b = whole.slice(k, 4096)
-                na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-                ha, hb = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(len(b), 256).astype(np.int16) for c in (4, 5))
-                need = -(-percent * (na + nb) // (100 + percent))
-                keep = pa.array(np.abs(ha - hb).sum(axis=1) <= na + nb - 2 * need)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return rows.mapInArrow(check, f"a {kind}, b {kind}")
-
-
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * size // 100)
 
@@ -165,11 +159,21 @@ class Order:
     """The order of n-grams that every task shares: a class of commonness (6 bits), then the hash."""
 
     def __init__(self, low: np.uint64, heavy: np.ndarray, counts: np.ndarray):
-        self.low, self.heavy = low, heavy
+        self.low, self.heavy, self.counts = low, heavy, counts
         self.level = np.minimum(63, 2 + 2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[heavy >> np.uint64(42)] = True
 
+    def salts(self, gram: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """0 for n-grams of ``RUN`` uses or fewer; others are dealt to as many runs as they need, by the set."""
+        out = np.zeros(len(gram), dtype=np.int64)
+        if len(self.heavy):
+            found = np.minimum(np.searchsorted(self.heavy, gram), len(self.heavy) - 1)
+            runs = np.minimum(-(-self.counts[found] // RUN), 0xFFFF)
+            at = np.flatnonzero((self.heavy[found] == gram) & (runs > 1))
+            out[at] = 1 + _mix(node[at].view(np.uint64), 5).astype(np.int64) % runs[at]
+        return out
+
     def keys(self, gram: np.ndarray) -> np.ndarray:
         level = np.where(gram < self.low, np.uint64(0), np.uint64(1))
         at = np.flatnonzero(self.maybe[gram >> np.uint64(42)])
@@ -199,7 +203,7 @@ def prefixes(gram: np.ndarray, starts: np.ndarray, percent: int, order: Order) -
 
 
 def heavy_ngrams(rows: DataFrame, n: int, low: np.uint64, heavy_from: int, heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common n-grams with their counts over all texts, at most ``heavy`` of them.
+    """The ``heavy`` most common n-grams (all, if fewer) with their counts over all texts.
 
     Below ``low`` every occurrence counts; above it those in slices of the
     corpus that hold the n-gram more than once, which is where very common
@@ -214,67 +218,159 @@ def heavy_ngrams(rows: DataFrame, n: int, low: np.uint64, heavy_from: int, heavy
             yield pa.RecordBatch.from_arrays([pa.array(found[told].view(np.int64)), pa.array(c[told])], names=["g", "c"])
 
     counts = rows.select("text").mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= heavy_from)
-    counts = saved(counts, "heavy")
-    room, least = heavy, 1 << 62
-    for bin_, many in sorted(map(tuple, counts.groupBy(F.floor(F.log2("c") * 8).alias("l")).count().collect()), reverse=True):
-        if many > room:
+    counts = saved(counts.withColumn("bin", F.floor(F.log2("c") * 8)), "heavy")
+    room, wanted = heavy, F.lit(False)
+    for bin_, many in sorted(map(tuple, counts.groupBy("bin").count().collect()), reverse=True):  # a few hundred bins
+        share = F.lit(True) if many <= room else F.pmod(F.xxhash64("g"), F.lit(1 << 20)) < int((room << 20) / many * 0.99)
+        wanted, room = wanted | ((F.col("bin") == bin_) & share), room - many
+        if room <= 0:
             break
-        room, least = room - many, bin_
-    got = counts.filter(F.floor(F.log2("c") * 8) >= least).toArrow()
+    got = counts.filter(wanted).select("g", "c").toArrow()
+    dropped(counts)
     g, c = got.column("g").to_numpy().view(np.uint64), got.column("c").to_numpy()
     order = np.argsort(g)
     return g[order], c[order]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class identifiers whose sets reach the threshold."""
-    one = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+def met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Postings (g, node, n_at, own_salt) in the order of g, salt, own, node, as members of the runs of equal g and salt.
+
+    The first set of a run, which has the fewest n-grams of its own, is its
+    centre. ``star``: the filters leave a link with it possible. ``many``: the
+    n-gram may have pairs that no centre is in, as it has three sets or more or
+    is dealt out by salts. Only the centre and two rows are kept between batches.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    held, centre = (none,) * 4, None  # rows whose run may still turn out to be short; the centre of a run that did not
+
+    def told(g, node, n_at, own, last: bool):
+        nonlocal held, centre
+        salt = own & 0xFFFF
+        new = np.ones(len(g), dtype=bool)
+        new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])
+        fresh = new.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        if centre and len(g) and (g[0], salt[0]) == centre[0] and node[0] == centre[2]:
+            fresh[0] = False
+        g, node, n_at, salt, own, new = (x[fresh] for x in (g, node, n_at, salt, own, new))
+        if not len(g):
+            return None
+        new[0] = True
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(g)))
+        of = np.repeat(np.arange(len(starts)), sizes)
+        node_c, n_c = node[starts], n_at[starts].copy()
+        many = (sizes > 2) | (salt[starts] > 0)
+        shown = (sizes > 1) | many
+        if centre and (g[0], salt[0]) == centre[0]:
+            node_c[0], n_c[0] = centre[1]
+            many[0] = shown[0] = True
+        if last or many[-1]:
+            held = (none,) * 4
+            centre = ((g[-1], salt[-1]), (node_c[-1], n_c[-1]), node[-1]) if not last else None
+        else:
+            k = starts[-1]
+            held, centre = tuple(x[k:] for x in (g, node, n_at, own)), None
+            shown[-1] = False
+        n, at, nc, ac = n_at >> 32, n_at & 0xFFFFFFFF, (n_c >> 32)[of], (n_c & 0xFFFFFFFF)[of]
+        need = -(-percent * (n + nc) // (100 + percent))
+        star = (node != node_c[of]) & (np.minimum(n, nc) * 100 >= np.maximum(n, nc) * percent)
+        star &= np.minimum(at, ac) + 1 + np.minimum(n - at - 1, nc - ac - 1) >= need
+        keep = shown[of] & (star | many[of])
+        cols = [g[keep], node[keep], n[keep].astype(np.int32), at[keep].astype(np.int32), node_c[of][keep], star[keep], many[of][keep]]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["g", "node", "n", "at", "node_c", "star", "many"])
+
+    for b in batches:
+        if len(b):
+            out = told(*(np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)), last=False)
+            if out is not None and len(out):
+                yield out
+    out = told(*held, last=True)
+    if out is not None and len(out):
+        yield out
+
+
+def beside(pairs: DataFrame, key: str, other: str, values: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``values`` for ``key``, which may be the same in very many pairs: they meet by key and a salt from the other side."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    wanted = salted.select(key, "_salt").distinct().join(values, key)
+    return salted.join(wanted, [key, "_salt"]).drop("_salt")
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose histograms leave the threshold possible."""
+    one = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"h_{c}"))
+    rows = beside(beside(pairs, "b", "a", one("b")), "a", "b", one("a")).select("a", "b", "n_a", "n_b", "h_a", "h_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(slices([batch], 2, 3 << 20), 3, 3 << 20):
-                left = b.column(2).dictionary_encode()
-                ga, sa = sets(left.dictionary, n)
-                gb, sb = sets(b.column(3), n)
-                ok = np.zeros(len(b), dtype=bool)
-                for i, k in enumerate(left.indices.to_numpy()):
-                    x, y = ga[sa[k] : sa[k + 1]], gb[sb[i] : sb[i + 1]]
-                    need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                    if min(len(x), len(y)) < need or not need:
-                        continue
-                    at = np.searchsorted(x, y)
-                    at[at == len(x)] = 0
-                    ok[i] = int((x[at] == y).sum()) >= need
-                mask = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-
-    kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
+        for whole in batches:
+            for k in range(0, len(whole), 4096):
+                b = whole.slice(k, 4096)
+                na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+                ha, hb = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(len(b), 256).astype(np.int16) for c in (4, 5))
+                need = -(-percent * (na + nb) // (100 + percent))
+                keep = pa.array(np.abs(ha - hb).sum(axis=1) <= na + nb - 2 * need)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
+    return rows.mapInArrow(check, "a long, b long")
 
-def near_duplicates(
-    docs: DataFrame,
-    n: int = 5,
-    percent: int = 80,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    heavy_from: int = 8,
-    heavy: int = 1 << 19,
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_id (documents of equal sets), component_id."""
-    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold; ``texts``: class, text.
+
+    The text of ``a`` comes once for each salt, before those of the ``b`` it is compared with.
+    """
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    text = lambda c: texts.select(F.col("class").alias(c), "text")
+    first = salted.select("a", "_salt").distinct().join(text("a"), "a").select("a", "_salt", F.lit(None).cast("long").alias("b"), "text")
+    both = first.unionByName(salted.join(text("b"), "b").select("a", "_salt", "b", "text"))
+    both = both.repartition("a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b")).select("a", "b", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, dtype=np.uint64)
+        for b in slices(batches, 2, 3 << 20):
+            gram, starts = sets(b.column(2), n)
+            centre = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            ok = np.zeros(len(b), dtype=bool)
+            for i in range(len(b)):
+                y = gram[starts[i] : starts[i + 1]]
+                if centre[i]:
+                    x = y.copy()
+                    continue
+                need = -(-percent * (len(x) + len(y)) // (100 + percent))
+                if min(len(x), len(y)) < need or not need:
+                    continue
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                ok[i] = int((x[at] == y).sum()) >= need
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def row_keys(id_col: str, text: Column) -> list[Column]:
+    """128 bits that tell rows by identifier and text."""
+    return [F.xxhash64(F.lit(k), F.col(id_col), text).alias(f"k{k}") for k in (1, 2)]
+
+
+def grouped_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, heavy_from: int, heavy: int) -> DataFrame:
+    """For every row: id, k1, k2 (see :func:`row_keys`), n, class_id, component (a number, null without n-grams), component_id."""
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), *row_keys(id_col, text), text.alias("text"))
     kind = dict(rows.dtypes)["id"]
     low = np.uint64(min(2**64 - 1, int(2**64 * 2.5 * (100 - percent) / 100)))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE):
-            gram, starts = sets(b.column(1), n)
+        for b in slices(batches, 3, SLICE):
+            gram, starts = sets(b.column(3), n)
             s, t = signatures(gram, starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts))), histograms(gram, starts)], names=["id", "n", "node", "check", *BITS, "hist"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *map(pa.array, (np.diff(starts), s, t, *sketches(gram, starts))), histograms(gram, starts)], names=["id", "k1", "k2", "n", "node", "check", *BITS, "hist"])
 
-    all_rows = saved(rows.mapInArrow(described, f"id {kind}, n long, node long, check long, " + ", ".join(f"{k} long" for k in BITS) + ", hist binary"), "sets")
-    classes = saved(all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class"), *[F.first(k).alias(k) for k in (*BITS, "hist")]), "classes")
+    all_rows = saved(rows.mapInArrow(described, f"id {kind}, k1 long, k2 long, n long, node long, check long, " + ", ".join(f"{k} long" for k in BITS) + ", hist binary"), "sets")
+    # a class is the rows of one set; its number is written once
+    classes = all_rows.filter("n > 0").groupBy("n", "node", "check").agg(F.min("id").alias("class_id"), F.min(F.struct("k1", "k2")).alias("k"), *[F.first(k).alias(k) for k in (*BITS, "hist")])
+    classes = saved(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     g, c = heavy_ngrams(rows, n, low, heavy_from, heavy)
     sent = docs.sparkSession.sparkContext.broadcast((g, c))
@@ -289,21 +385,22 @@ def near_duplicates(
             first = np.zeros(len(size), dtype=bool)
             first[np.unique(node, return_index=True)[1]] = True  # equal sets of a slice once
             k = first[row]
-            row = row[k]
-            yield pa.RecordBatch.from_arrays([pa.array(value[k].view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32)), pa.array(position[k].astype(np.int32)), pa.array(light[row].astype(np.int32))], names=["g", "node", "n", "at", "own"])
+            row, value = row[k], value[k]
+            own = (light[row] << 16) | order.salts(value, node[row])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (value.view(np.int64), node[row], (size[row] << 32) | position[k], own))), names=["g", "node", "n_at", "own"])
 
-    postings = saved(rows.select("text").mapInArrow(prefixed, "g long, node long, n int, at int, own int"), "prefixes")
-    centre = postings.groupBy("g").agg(F.min(F.struct("own", "node", "n", "at")).alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    centre = centre.select("g", F.col("c.node").alias("node_c"), F.col("c.n").alias("n_c"), F.col("c.at").alias("at_c"))
-    shared = saved(postings.join(centre, "g"), "postings")  # what has an n-gram in common with another set
+    postings = rows.select("text").mapInArrow(prefixed, "g long, node long, n_at long, own long")
+    salt = F.col("own").bitwiseAND(F.lit(0xFFFF))
+    postings = postings.repartition(F.col("g"), salt).sortWithinPartitions("g", salt, "own", "node")
+    shared = saved(postings.mapInArrow(lambda b: met(b, percent), "g long, node long, n int, at int, node_c long, star boolean, many boolean"), "postings")
 
-    def possible(n1: str, at1: str, n2: str, at2: str):
+    def possible(n1: str, at1: str, n2: str, at2: str) -> Column:
         long_, short = F.greatest(n1, n2), F.least(n1, n2)
         need = F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
         most = F.least(at1, at2) + 1 + F.least(F.col(n1) - F.col(at1) - 1, F.col(n2) - F.col(at2) - 1)
         return (short * 100 >= long_ * percent) & (most >= need)
 
-    def near(n1: str, bits1: list[str], n2: str, bits2: list[str]):
+    def near(n1: str, bits1: list[str], n2: str, bits2: list[str]) -> Column:
         """Whether the parity bits leave the threshold possible: at most n1 + n2 - 2 * overlap n-grams differ."""
         differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits1, bits2)), F.lit(0))
         need = F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
@@ -312,61 +409,110 @@ def near_duplicates(
     def marked(letter: str, name: str) -> DataFrame:
         return classes.select(F.col("node").alias(letter), F.col("class").alias(name), F.col("n").alias(f"n_{letter}"), *[F.col(k).alias(f"{k}_{letter}") for k in BITS])
 
-    def by_class(pairs: DataFrame) -> DataFrame:
-        """Pairs of nodes (x, y) as pairs of classes (a, b), without those that the parity bits rule out."""
-        out = pairs.join(marked("x", "a"), "x").join(marked("y", "b"), "y").filter("a <> b")
-        return out.filter(near("n_x", [f"{k}_x" for k in BITS], "n_y", [f"{k}_y" for k in BITS])).select("a", "b")
-
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = saved(near_enough(by_class(pairs.distinct()), classes, percent), "pairs")
-        if not some(pairs):
-            return pairs
-        seen = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        texts = rows.join(seen, F.col("id") == F.col("class"), "left_semi").select(F.col("id").alias("class"), "text").dropDuplicates(["class"])
-        return saved(verified(pairs, texts, n, percent), "links")
+        """Links (a, b) of classes among pairs of nodes (x, y)."""
+        pairs = saved(pairs.distinct(), "met")
+        both = beside(beside(pairs, "y", "x", marked("y", "b")), "x", "y", marked("x", "a")).filter("a <> b")
+        close = saved(both.filter(near("n_x", [f"{k}_x" for k in BITS], "n_y", [f"{k}_y" for k in BITS])).select("a", "b"), "close")
+        likely = saved(near_enough(close, classes, percent), "pairs")
+        dropped(pairs, close)
+        if not some(likely):
+            return likely
+        seen = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct().join(classes.select("class", "k.k1", "k.k2"), "class")
+        seen = saved(seen, "seen")
+        wanted = F.broadcast(seen) if seen.count() <= BROADCAST_ROWS else seen
+        texts = saved(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("class").agg(F.first("text").alias("text")), "texts")
+        found = saved(verified(likely, texts, n, percent), "links")
+        dropped(likely, seen, texts)
+        return found
 
     def some(df: DataFrame) -> bool:
         return bool(df.limit(1).count())
 
-    def divided(component: DataFrame) -> DataFrame:
-        """Members of the n-grams whose documents are in several components, with each n-gram's largest one."""
-        part = component.withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", "component")
-        members = shared.join(part, "node", "left").withColumn("component", F.when(F.col("component").isNull(), F.xxhash64(F.lit(1), "node")).otherwise(F.xxhash64(F.lit(0), "component")))
-        members = members.select("g", "node", "n", "at", "node_c", "component")
-        main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-        return saved(members.join(main.select("g", F.col("m.component").alias("main")), "g"), "members")
+    def divided(component: DataFrame, members: DataFrame) -> DataFrame:
+        """Members of the n-grams whose sets are in several components, with each n-gram's largest one and number of sets."""
+        part = component.withColumnRenamed("node", "class").join(classes.select("class", "node"), "class").select("node", F.xxhash64(F.lit(0), "component").alias("component"))
+        members = members.select("g", "node", "n", "at", "node_c").join(part, "node", "left").withColumn("component", F.coalesce("component", F.xxhash64(F.lit(1), "node")))
+        main = members.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "component")).alias("m"), F.count("*").alias("parts"), F.sum("k").alias("sets")).filter("parts > 1")
+        return saved(members.join(main.select("g", F.col("m.component").alias("main"), "sets"), "g"), "members")
 
-    stars = shared.filter(F.col("node") != F.col("node_c")).filter(possible("n", "at", "n_c", "at_c")).select(F.col("node_c").alias("x"), F.col("node").alias("y"))
-    links = linked(stars)
+    links = linked(shared.filter("star").select(F.col("node_c").alias("x"), F.col("node").alias("y")))
     component = components(links)
 
-    # a few more centres from the largest component of an n-gram, where it has many members
-    members = divided(component)
-    main = members.filter("component = main").groupBy("g").agg(F.count("*").alias("k"), *[F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
-    centres = main.filter(F.col("k") >= CENTRES).select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
-    centres = centres.select("g", F.col("c.node").alias("x"), F.col("c.n").alias("n_x"), F.col("c.at").alias("at_x"))
-    outside = members.filter((F.col("component") != F.col("main")) & (F.col("node") != F.col("node_c"))).select("g", F.col("node").alias("y"), "n", "at")
-    more = outside.join(centres, "g").filter(possible("n_x", "at_x", "n", "at")).select("x", "y")
-    found = linked(more)
-    if some(found):
-        links = saved(links.union(found), "links")
+    # more centres, from the largest component of an n-gram, as long as that joins a good part of what is outside
+    members = divided(component, shared.filter("many"))
+    dropped(shared)
+    for turn in range(TURNS):
+        main = members.filter("component = main").groupBy("g").agg(F.count("*").alias("k"), *[F.min_by(F.struct("node", "n", "at"), F.xxhash64("node", F.lit(turn), F.lit(k))).alias(f"c{k}") for k in range(CENTRES)])
+        centres = main.filter(F.col("k") >= CENTRES).select("g", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c"))
+        centres = centres.select("g", F.col("c.node").alias("x"), F.col("c.n").alias("n_x"), F.col("c.at").alias("at_x"))
+        outside = members.filter("component <> main").select("g", F.col("node").alias("y"), "n", "at", "node_c")
+        found = linked(outside.join(centres, "g").filter((F.col("x") != F.col("node_c")) & possible("n_x", "at_x", "n", "at")).select("x", "y"))
+        gained = found.count()
+        if not gained:
+            break
+        links, before, more = saved(links.union(found), "links"), members, component
         component = components(links)
-        members = divided(component)
-
-    # whatever is still outside is paired with all members of other components
-    members = members.join(classes.select("node", *BITS), "node")
-    fewer = members.filter("component <> main").select("g", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("c_x"), *[F.col(k).alias(f"{k}_x") for k in BITS])
-    others = members.select("g", F.col("node").alias("y"), "n", "at", "component", "node_c", "main", *BITS)
-    rest = fewer.join(others, "g").filter((F.col("c_x") != F.col("component")) & (F.col("y") != F.col("node_c")) & (F.col("x") != F.col("node_c")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y"))))
-    rest = rest.filter(possible("n_x", "at_x", "n", "at") & near("n_x", [f"{k}_x" for k in BITS], "n", list(BITS)))
+        apart, members = outside.select("y").distinct().count(), divided(component, before)
+        dropped(before, more)
+        if gained * 20 < apart:
+            break
+
+    # what is still outside is paired with the sets of other components, each pair by the first n-gram that both heads show
+    first = W.partitionBy("node").orderBy("at", "g")
+    heads = members.select("node", "at", "g").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= HEAD)
+    heads = heads.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "g"))), lambda s: s["g"]).alias("head"))
+    known = classes.select("node", *BITS)
+    before, members = members, saved(members.join(known.join(heads, "node"), "node"), "members")
+    dropped(before)
+    parts = F.ceil(F.col("sets") / GROUP).cast("int")
+    fewer = members.filter("component <> main").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    fewer = fewer.select("g", "_salt", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("component").alias("c_x"), F.col("node_c").alias("centre_x"), F.col("head").alias("head_x"), *[F.col(k).alias(f"{k}_x") for k in BITS])
+    others = members.select("g", F.pmod(F.xxhash64("node"), parts).cast("int").alias("_salt"), F.col("node").alias("y"), "n", "at", "component", "node_c", "main", "head", *BITS)
+    new = (F.col("c_x") != F.col("component")) & (F.col("y") != F.col("centre_x")) & (F.col("x") != F.col("node_c")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("y")))
+    once = F.coalesce(F.get(F.array_intersect("head_x", "head"), F.lit(0)) == F.col("g"), F.lit(True))
+    rest = fewer.join(others, ["g", "_salt"]).filter(new & possible("n_x", "at_x", "n", "at") & near("n_x", [f"{k}_x" for k in BITS], "n", list(BITS)) & once)
     found = linked(rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    dropped(members)
     if some(found):
         component = components(links.union(found))
 
-    component = component.withColumnRenamed("node", "class")
-    known = classes.join(component, "class", "left").select("n", "node", "check", "class", F.coalesce("component", "class").alias("component"))
-    out = all_rows.join(known, ["n", "node", "check"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    of = component.withColumnRenamed("node", "class")
+    known = classes.join(of, "class", "left").select("n", "node", "check", "class_id", F.coalesce("component", "class").alias("component"))
+    least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    out = all_rows.select("id", "k1", "k2", "n", "node", "check").join(known.join(least, "component"), ["n", "node", "check"], "left")
+    return out.select("id", "k1", "k2", "n", F.coalesce("class_id", "id").alias("class_id"), "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    n: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    heavy_from: int = 8,
+    heavy: int = 1 << 19,
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, class_id (documents of equal sets), component_id."""
+    out = grouped_rows(docs, n, percent, id_col, text_col, heavy_from, heavy)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", heavy_from: int = 8, heavy: int = 1 << 19) -> DataFrame:
+    """The rows of ``docs`` of which one stays in each group of linked documents: that with the smallest identifier.
+
+    Decided row by row: of rows with equal (or null) identifiers and different
+    texts only those go that have a link; of rows equal in identifier and text
+    one stays; null identifiers come last. Rows without n-grams all stay.
+    """
+    found = saved(grouped_rows(docs, n, percent, id_col, text_col, heavy_from, heavy).filter("n > 0").select("id", "k1", "k2", "component"), "found")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("b")).select("b.k1", "b.k2", F.lit(True).alias("best"))
+    keys = found.groupBy("k1", "k2").agg(F.count("*").alias("times")).join(best, ["k1", "k2"], "left")
+    keys = saved(keys.select("k1", "k2", F.col("best").isNull().alias("gone"), (F.col("times") > 1).alias("again")).filter("gone OR again"), "keys")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *row_keys(id_col, whole_text(text_col)))
+    single = rows.join(keys.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    repeated = rows.join(keys.filter("NOT gone").select("k1", "k2"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return single.unionByName(repeated).select("_doc.*")
 
 
 def op2_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

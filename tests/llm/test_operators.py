@@ -209,6 +209,59 @@ def test_near_duplicates(spark, n, percent):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components(sets, percent)
 
 
+def test_runs_of_postings():
+    """Centres, stars and members of runs, whatever the batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(g), int(s), int(v) % 3, int(v)) for g, s, v in zip(rng.integers(0, 30, 300), rng.integers(0, 2, 300), rng.integers(0, 40, 300))})
+    rows = [r for r in rows if r[1] == 0 or r[0] < 5]
+    rows += [r for r in rows if r[3] % 7 == 0]  # sets that come twice
+    rows.sort()
+    table = [(g, v, (20 << 32) | (v % 3), (o << 16) | s) for g, s, o, v in rows]
+    runs = defaultdict(dict)
+    for g, v, at, own in table:
+        runs[g, own & 0xFFFF].setdefault(v, at)
+    want = set()
+    for (g, salt), sets in runs.items():
+        many = len(sets) > 2 or salt > 0
+        c = next(iter(sets))
+        want |= {(g, v, v != c, many, c) for v in sets if many or v != c}
+    for step in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*table[k : k + step])], names=["g", "node", "n_at", "own"]) for k in range(0, len(table), step)]
+        got = [r for b in jaccard.met(iter(batches), 50) for r in b.to_pylist()]
+        assert {(r["g"], r["node"], r["star"], r["many"], r["node_c"]) for r in got} == want, step
+
+
+@pytest.mark.parametrize("many", [12, 400])
+def test_near_duplicates_with_one_common_ngram(spark, many, monkeypatch):
+    """Texts around one passage that do not link, and pairs among them that do, with salts, groups and turns at work."""
+    monkeypatch.setattr(jaccard, "RUN", 50)
+    monkeypatch.setattr(jaccard, "GROUP", 20)
+    rng = np.random.default_rng(many)
+    passage = [f"p{i}" for i in range(24)]
+    rows = []
+    for i in range(many):
+        own = [f"o{i}x{k}" for k in range(int(rng.integers(1, 9)))]
+        rows.append((len(rows), " ".join([*own[:3], *passage[: int(rng.integers(14, 25))], *own[3:]])))
+        if i % 5 == 0:
+            rows.append((len(rows), rows[-1][1] + " tail"))
+    df = spark.createDataFrame(rows, CLASH).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df, n=2, percent=80, heavy_from=3).collect()}
+    assert got == plain_components(plain_sets(rows, 2), 80)
+
+
+def test_near_copies_go_by_row(spark):
+    """Identifiers that repeat or are null neither save a near copy nor cost an unrelated text."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long + " x", "b"), (1, "quite another text of a few words here", "c"), (None, long + " y", "d"), (None, "a null identifier and a text alone", "e"), (2, long, "f"), (3, "", "g"), (3, "", "h"), (4, None, "i"), (5, "word " * 40_000, "j"), (6, "word " * 40_001, "k"), (7, "rows that are the same", "l"), (7, "rows that are the same", "l")]
+    df = spark.createDataFrame([(i, t, x, "clash", 1) for i, t, x in rows], "doc_id long, text string, lang string, k1 string, n int").repartition(3)
+    got = jaccard.without_near_copies(df)
+    assert got.columns == df.columns
+    kept = sorted(r["lang"] for r in got.collect())
+    assert kept in (sorted(first + "ceghijl") for first in "ab")
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
