@@ -2,17 +2,22 @@
 
 Sampled splitters deal the rows out by the first characters of the normalised
 text (its digest and the identifier break ties, so that not even one text that
-makes up a third of the corpus falls to one task). Each task sorts its range
-with Spark's external sort, which puts equal texts side by side, and one pass
-compares neighbours in full. Runs that reach the edge of a task's range are
-joined with those of its neighbours by their full text; there are at most two
-of them for each task.
+makes up a third of the corpus falls to one task). Each task sorts its range by
+the whole normalised bytes with Spark's external sort, which puts equal texts
+side by side, and one pass compares neighbours in full. A text may go on in the
+next range only if it begins or ends its own, by the order of the splitters;
+those two of each task, and texts that come so often that the pass hands them on
+in pieces of ``PIECE`` rows, are told apart by a summary each (text, first
+identifier, rows), and summaries of equal texts are joined. No task holds more
+of a text's rows than a piece, nor more than one copy of their text.
 
 Defined cases: a null text counts as empty; empty texts are equal to each
-other; of equal texts one row stays, the one with the largest (or smallest)
-identifier, and among rows with the same identifier any one; a null identifier
-is chosen only if the group has no other; an empty table gives an empty result.
-Columns other than those named are ignored, whatever their names.
+other; very long texts are compared whole; of equal texts one row stays, the one
+with the largest (or smallest) identifier, and among rows with the same
+identifier any one; a null identifier is chosen only if the group has no other;
+an empty table gives an empty result. Columns other than those named are
+ignored, whatever their names; a carried one that has the name of a result
+column comes as ``carried_<name>``.
 """
 
 from __future__ import annotations
@@ -28,68 +33,109 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.shared import saved, shuffle_partitions, table
 
-FIRST, LAST = 1, 2  # bits of a run that touches the first or last row of its range
-
-
-def _runs(small: list[str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Turn sorted rows into rows with their run's number, size and edge bits."""
-
-    def closed(rows: pa.Table, starts: np.ndarray, run: int, part: int, first: bool, last: bool) -> pa.RecordBatch:
-        n = len(rows)
-        sizes = np.diff(np.append(starts, n))
-        of = np.repeat(np.arange(len(starts)), sizes)
-        edge = np.zeros(len(starts), dtype=np.int32)
-        if first:
-            edge[0] |= FIRST
-        if last:
-            edge[-1] |= LAST
-        head = np.zeros(n, dtype=bool)
-        head[starts] = True
-        shown = head & (edge[of] > 0)
-        cols = {c: rows[c].combine_chunks() for c in small}
-        cols["keep_id"] = rows["_id"].combine_chunks().take(pa.array(starts[of]))
-        cols |= {"_part": np.full(n, part, dtype=np.int32), "_run": (run + of).astype(np.int64), "group_size": sizes[of].astype(np.int64), "_head": head, "_edge": edge[of]}
-        text = rows["_text"].combine_chunks()
-        cols["_edge_text"] = pc.if_else(pa.array(shown), text, pa.scalar(None, text.type))
-        return pa.RecordBatch.from_pydict({k: cols[k] for k in names})
+PIECE, PIECE_BYTES = 1 << 16, 32 << 20
+RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
-    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, run, first = TaskContext.get().partitionId(), 0, True
-        waiting: list[pa.Table] = []  # the run that is still open: its text once, its other columns for each row
-        held: pa.Array | None = None
 
-        def whole() -> pa.Table:
-            n = sum(len(t) for t in waiting)
-            return pa.concat_tables(waiting).append_column("_text", held.take(pa.array(np.zeros(n, dtype=np.int64))))
+def _runs(small: list[str], names: list[str], chars: int, body: bool, heads_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turn rows in the order of their text into rows with their run's number and size, and the summaries of some runs."""
+
+    def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run = TaskContext.get().partitionId(), 0
+        waiting: list[pa.RecordBatch] = []  # rows of the run that is still open, without their text
+        held: pa.Array | None = None  # its text
+        more, goes_on = 0, False  # its rows so far, and whether a piece of it has gone out
+        lowest: tuple | None = None  # of the texts that begin like the first one: digest and summary of the lowest digest
+        highest: tuple | None = None  # of those that begin like the last one: the highest
+
+        def shown(rows: pa.RecordBatch, text: pa.Array | None, starts: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+            n = len(rows)
+            sizes = np.diff(np.append(starts, n))
+            of = np.repeat(np.arange(len(starts)), sizes)
+            head = np.zeros(n, dtype=bool)
+            head[starts] = heads
+            cols = {c: rows.column(c) for c in small}
+            cols["keep_id"] = rows.column("_id").take(pa.array(starts[of]))
+            cols |= {"_part": pa.array(np.full(n, part, dtype=np.int32)), "_run": pa.array(run + of), "group_size": pa.array(sizes[of]), "_head": pa.array(head), "_summary": pa.nulls(n, pa.string())}
+            if body:
+                cols["_body"] = text
+            out = pa.RecordBatch.from_pydict({k: cols[k] for k in names})
+            return out.filter(pa.array(head)) if heads_only else out
+
+        def summary(number: int, text: pa.Array, digest: str, keep: pa.Array, size: int) -> pa.RecordBatch:
+            cols = {"keep_id": keep, "_part": pa.array([part], pa.int32()), "_run": pa.array([number], pa.int64()), "group_size": pa.array([size], pa.int64()), "_head": pa.array([False]), "_summary": pa.array(text.to_pylist(), pa.string())}
+            return pa.RecordBatch.from_pydict({k: cols[k] if k in cols else pa.nulls(1, kinds[k]) for k in names})
+
+        def beside_edge(text: pa.Array, digests: pa.Array, keep: pa.Array, sizes: np.ndarray) -> None:
+            """Note which of some runs, in order and numbered from ``run``, may be those at the edges."""
+            nonlocal lowest, highest
+            start = pc.utf8_slice_codeunits(text, 0, chars)
+            one = lambda i: (run + i, pa.array(text[i : i + 1].to_pylist(), text.type), digests[i].as_py(), keep[i : i + 1].take(pa.array([0])), int(sizes[i]))
+            first = start[0].as_py() if lowest is None else lowest[0]
+            for i in np.flatnonzero(pc.equal(start, pa.scalar(first, start.type)).to_numpy(zero_copy_only=False))[: len(sizes) if lowest is None or start[0].as_py() == first else 0]:
+                if lowest is None or digests[int(i)].as_py() < lowest[1][2]:
+                    lowest = (first, one(int(i)))
+            last = start[len(start) - 1].as_py()
+            if highest is not None and highest[0] != last:
+                highest = None
+            for i in np.flatnonzero(pc.equal(start, pa.scalar(last, start.type)).to_numpy(zero_copy_only=False)):
+                if highest is None or digests[int(i)].as_py() > highest[1][2]:
+                    highest = (last, one(int(i)))
+
+        def flush(closing: bool) -> Iterator[pa.RecordBatch]:
+            """Hand on what waits of the open run."""
+            nonlocal waiting, more, goes_on, run
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            text = None
+            if body:
+                at = np.zeros(len(rows), dtype=np.int64)
+                text = held.take(pa.array(at)) if not heads_only else pa.array(held.to_pylist() + [None] * (len(rows) - 1), pa.string())
+            yield shown(rows, text, np.zeros(1, dtype=np.int64), np.array([not goes_on]))
+            keep = rows.column("_id")[:1]
+            if closing and not goes_on:
+                beside_edge(held, rows.column("_digest")[:1], keep, np.array([len(rows)]))
+            else:
+                yield summary(run, held, "", keep, len(rows))
+            run, waiting, more, goes_on = run + 1, [], 0, not closing
 
         for batch in batches:
             if not len(batch):
                 continue
-            rows = pa.Table.from_batches([batch])
+            kinds = {f.name: f.type for f in batch.schema} | {"_body": pa.string()}
             text = batch.column("_text")
+            rows = batch.select([c for c in batch.schema.names if c != "_text"])
             differs = pc.not_equal(text[1:], text[:-1]).to_numpy(zero_copy_only=False) if len(text) > 1 else np.zeros(0, dtype=bool)
             starts = np.concatenate([[0], np.flatnonzero(differs) + 1]).astype(np.int64)
             if held is not None:
                 if text[0].as_py() == held[0].as_py():
+                    cut = int(starts[1]) if len(starts) > 1 else len(text)
+                    most = max(1, min(PIECE, PIECE_BYTES // (1 + pc.binary_length(held)[0].as_py()))) if body and not heads_only else PIECE
+                    for k in range(0, cut, most):
+                        waiting.append(rows.slice(k, min(most, cut - k)))
+                        more += len(waiting[-1])
+                        if more >= most and k + most < cut or more >= most and len(starts) == 1:
+                            yield from flush(False)
                     if len(starts) == 1:
-                        waiting.append(rows.select([c for c in rows.column_names if c != "_text"]))
                         continue
-                    cut = int(starts[1])
-                    waiting.append(rows.slice(0, cut).select([c for c in rows.column_names if c != "_text"]))
-                    rows, starts = rows.slice(cut), starts[1:] - cut
-                done = whole()
-                yield closed(done, np.zeros(1, dtype=np.int64), run, part, first, False)
-                run, first = run + 1, False
+                    rows, text, starts = rows.slice(cut), text[cut:], starts[1:] - cut
+                if waiting:
+                    yield from flush(True)
+                goes_on = False
             cut = int(starts[-1])
             if cut:
-                yield closed(rows.slice(0, cut), starts[:-1], run, part, first, False)
-                run, first = run + len(starts) - 1, False
-            rest = rows.slice(cut)
-            held = rest["_text"].combine_chunks()[:1]
-            held = pa.array(held.to_pylist(), held.type)  # a copy, which does not hold the batch
-            waiting = [rest.select([c for c in rest.column_names if c != "_text"])]
+                closed = starts[:-1]
+                sizes = np.diff(starts)
+                yield shown(rows.slice(0, cut), text[:cut], closed, np.ones(len(closed), dtype=bool))
+                at = pa.array(closed)
+                beside_edge(text.take(at), rows.column("_digest").take(at), rows.column("_id").take(at), sizes)
+                run += len(closed)
+            held = pa.array(text[cut : cut + 1].to_pylist(), text.type)  # a copy, which does not hold the batch
+            waiting, more = [rows.slice(cut)], len(rows) - cut
         if held is not None:
-            yield closed(whole(), np.zeros(1, dtype=np.int64), run, part, first, True)
+            if waiting:
+                yield from flush(True)
+            for _, (number, text, digest, keep, size) in {e[1][0]: e for e in (lowest, highest) if e}.values():
+                yield summary(number, text, digest, keep, size)
 
     return run_over
 
@@ -102,38 +148,43 @@ def content_sort(
     keep: str = "smallest",
     normalise: Callable[[Column], Column] | None = None,
     carry: tuple[str, ...] = (),
+    kept_only: bool = False,
     splitter_chars: int = 48,
     partitions: int | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text), and ``carry``."""
+    """One row per row of ``docs`` (``kept_only``: per row that stays): id, keep_id, group_size, kept, text_sha256 (of the normalised text), and ``carry``."""
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    body = text_col in carry and not normalise  # the text that is sorted is the one to carry
     rows = docs.select(
         F.col(id_col).alias("_id"),
         (normalise(text) if normalise else text).alias("_text"),
-        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
+        *[F.col(text_col).isNull().alias(f"_c{i}") if body and c == text_col else F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     ).withColumn("_digest", F.sha2(F.col("_text").cast("binary"), 256))
-    order = [F.substring("_text", 1, splitter_chars), F.col("_digest"), F.asc_nulls_last("_id") if keep == "smallest" else F.desc_nulls_last("_id")]
+    by_id = F.asc_nulls_last("_id") if keep == "smallest" else F.desc_nulls_last("_id")
     n = partitions or shuffle_partitions(docs.sparkSession)
     kinds = dict(rows.dtypes)
     small = [c for c in rows.columns if c != "_text"]
-    schema = ", ".join([f"{c} {kinds[c]}" for c in small] + [f"keep_id {kinds['_id']}", "_part int", "_run long", "group_size long", "_head boolean", "_edge int", "_edge_text string"])
-    names = [*small, "keep_id", "_part", "_run", "group_size", "_head", "_edge", "_edge_text"]
-    marked = saved(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_runs(small, names), schema), "content_sort")
-
-    edges = marked.filter("_edge > 0 AND _head").select("_part", "_run", "_edge_text", "keep_id", "group_size")
-    merged = edges.groupBy("_edge_text").agg(F.sum("group_size").alias("_total"), F.min(F.struct("_part", "keep_id")).alias("_first"))
-    fixed = edges.join(merged, "_edge_text").select("_part", "_run", "_total", F.col("_first._part").alias("_at"), F.col("_first.keep_id").alias("_keep"))
-    fixed = saved(fixed, "content_sort_edges")  # at most two rows for each task of the sort, without the texts
-    out = marked.drop("_edge_text").join(F.broadcast(fixed), ["_part", "_run"], "left")
-    return out.select(
+    own = {"keep_id": kinds["_id"], "_part": "int", "_run": "long", "group_size": "long", "_head": "boolean", "_summary": "string"} | ({"_body": "string"} if body else {})
+    schema = ", ".join(f"{c} {k}" for c, k in ({c: kinds[c] for c in small} | own).items())
+    dealt = rows.repartitionByRange(n, F.substring("_text", 1, splitter_chars), "_digest", by_id).sortWithinPartitions("_text", by_id)
+    marked = saved(dealt.mapInArrow(_runs(small, [*small, *own], splitter_chars, body, kept_only), schema), "content_sort")
+
+    edges = marked.filter("_summary IS NOT NULL").select("_part", "_run", "_summary", "keep_id", "group_size")
+    merged = edges.groupBy("_summary").agg(F.sum("group_size").alias("_total"), F.min(F.struct("_part", "_run", "keep_id")).alias("_first"))
+    fixed = edges.join(merged, "_summary").select("_part", "_run", "_total", ((F.col("_first._part") == F.col("_part")) & (F.col("_first._run") == F.col("_run"))).alias("_starts"), F.col("_first.keep_id").alias("_keep"))
+    fixed = saved(fixed, "content_sort_edges")  # two rows for each task and one for each piece, without the texts
+    out = marked.filter("_summary IS NULL").drop("_summary").join(fixed, ["_part", "_run"], "left")
+    kept = F.col("_head") & F.coalesce("_starts", F.lit(True))
+    name = lambda c: f"carried_{c}" if c in RESULT else c
+    return (out.filter(kept) if kept_only else out).select(
         F.col("_id").alias(id_col),
         F.when(F.col("_total").isNull(), F.col("keep_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_total", "group_size").alias("group_size"),
-        (F.col("_head") & F.coalesce(F.col("_at") == F.col("_part"), F.lit(True))).alias("kept"),
+        kept.alias("kept"),
         F.col("_digest").alias("text_sha256"),
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c != id_col],
+        *[(F.when(~F.col(f"_c{i}"), F.col("_body")) if body and c == text_col else F.col(f"_c{i}")).alias(name(c)) for i, c in enumerate(carry) if c != id_col],
     )
 
 
