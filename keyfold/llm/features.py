@@ -7,9 +7,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from keyfold.llm.shared import dropped, saved
+
 EDGE = b".,;:!?\"'()[]{}*&%$#-_/\\<>|~`^=+@"
 A1, A2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)  # fixed values: odd multipliers
 
@@ -44,13 +46,33 @@ def bucket(h: np.ndarray, salt: int, bits: int) -> np.ndarray:
     return (z >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, id_col: str = "doc_id") -> DataFrame:
-    """Texts and labels (0 or 1) of at most ``most`` rows for which ``learn`` holds, chosen by a hash of their ids.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
+    """Rows of ``docs`` (with ``_id``) and their labels (0 or 1), for which ``learn`` holds: at most ``most`` rows, one for each identifier.
+
+    Identifiers are sampled by a hash before the join, so that the side that is
+    broadcast is bounded; of rows that share an identifier the one with the
+    lowest hash stays, by an aggregation that begins where the rows are. The
+    same rows are chosen however the tables are split.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("_id").isNotNull() & learn).groupBy("_id").agg(F.max(label).cast("int").alias("label"))
+    known = saved(known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(most), "labels")  # two numbers and a label each
+    rows = docs.join(F.broadcast(known.select(F.col("_id").alias("_known"), "label", "_h")), F.col("_id") == F.col("_known")).drop("_known")
+    others = [c for c in rows.columns if c not in ("_id", "_h")]
+    return rows.groupBy("_id", "_h").agg(F.min_by(F.struct(*others), F.xxhash64(*docs.columns)).alias("x")).select("x.*", "_h")
+
+
+def collected(rows: DataFrame, size: Column, most_bytes: int) -> list[Row]:
+    """Rows of a bounded sample in the order of ``_h``, as long as their ``size`` adds up to ``most_bytes`` or less; none above a sixteenth of that.
 
-    The labels are sampled before the join, so that the side that is broadcast is bounded.
+    The sizes alone are looked at first.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    n = known.count()
-    if n > most:
-        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < int(1_000_003 * most / n)).limit(most)
-    return docs.join(F.broadcast(known), docs[id_col] == known["_id"])
+    rows = saved(rows.withColumn("_size", size.cast("long")).filter(F.col("_size") <= most_bytes // 16), "sample")
+    total, top = 0, None
+    for h, n in sorted(map(tuple, rows.select("_h", "_size").collect())):
+        total += n
+        if total > most_bytes:
+            break
+        top = h
+    got = rows.filter(F.col("_h") <= top).drop("_size").collect() if top is not None else []
+    dropped(rows)
+    return sorted(got, key=lambda r: r["_h"])

@@ -6,12 +6,17 @@ statistics of the text's structure, and bins of metadata columns. All pairs of
 features interact through ``factors``-dimensional vectors; the sum over pairs
 is half of (square of sum - sum of squares), so a row is scored in time linear
 in its features. The model is fitted with AdaGrad on at most ``train_rows``
-labelled rows (a documented bound; the driver holds a few hundred features of
-each) and has a fixed size, so it is broadcast.
+labelled rows, one for each identifier, whose features take ``train_bytes`` or
+less (documented bounds, whatever the tables) and has a fixed size, so it is
+broadcast. All rows are scored, by whole texts.
 
 Defined cases: null texts count as empty; an empty text is scored by the bins
-of its statistics; null metadata have a bin of their own; without labels, or
-with labels of one kind only, the score is the smoothed share of label 1.
+of its statistics; null metadata have a bin of their own; very long texts are
+scored whole (only a text whose features are beyond a sixteenth of
+``train_bytes`` is not learnt from); without labels, or with labels of one kind
+only, the score is the smoothed share of label 1; repeated rows score alike; a
+null identifier has no label and is scored; an empty table gives an empty
+result; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from keyfold.llm.features import bucket, labelled, rows_of, word_hashes
+from keyfold.llm.features import bucket, collected, labelled, rows_of, word_hashes
 from keyfold.llm.shared import crc_mod, table, whole_text
 from keyfold.llm.words import slices
 
@@ -157,41 +163,41 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], word_bits: int, metadata
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), train_rows: int = 12_000, word_bits: int = 15) -> Model:
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("_text"), *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(metadata)])
-    known = labelled(rows, labels, label, learn, train_rows, id_col).select("label", "_text", *[f"_m{i}" for i in range(len(metadata))])
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), train_rows: int = 12_000, train_bytes: int = 64 << 20, word_bits: int = 15) -> Model:
+    names = [f"_m{i}" for i in range(len(metadata))]
+    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), *[F.col(c).cast("double").alias(m) for c, m in zip(metadata, names)])
+    known = labelled(rows, labels.withColumnRenamed(id_col, "_id"), label, learn, train_rows).select("label", "_h", "_text", *names)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, 3 << 20):
-            r, f, x = features(b.column(1), b.columns[2:], word_bits)
+        for b in slices(batches, 2, 3 << 20):
+            r, f, x = features(b.column(2), b.columns[3:], word_bits)
             ends = np.searchsorted(r, np.arange(len(b) + 1))
             cut = [(f[i:j].astype("<i4").tobytes(), x[i:j].astype("<f4").tobytes()) for i, j in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["label", "f", "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["label", "_h", "f", "x"])
 
-    got = known.mapInArrow(cells, "label int, f binary, x binary").collect()
-    got = sorted(got, key=lambda r: (bytes(r.f), bytes(r.x), r.label))  # the same order whatever the partitions
+    got = collected(known.mapInArrow(cells, "label int, _h long, f binary, x binary"), F.octet_length("f") * 2, train_bytes)
     return fit([(np.frombuffer(r.f, "<i4"), np.frombuffer(r.x, "<f4"), r.label) for r in got], word_bits, len(metadata))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", metadata: tuple[str, ...] = (), name: str = "score") -> DataFrame:
-    """``docs`` with a score between 0 and 1; all columns stay."""
+    """``docs`` with a score between 0 and 1; all other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c != name]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in slices(batches, len(others), 3 << 20):
-            k = len(others)
-            r, f, x = features(b.column(k), b.columns[k + 1 :], m.word_bits)
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(m.score(r, f, x, len(b)))], names=[*others, name])
+        for b in slices(batches, 1, 2 << 20):
+            r, f, x = features(b.column(1), b.columns[2:], m.word_bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.score(r, f, x, len(b)))], names=["doc", "score"])
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(*others, whole_text(text_col).alias("_text_"), *[F.col(c).cast("double").alias(f"_meta_{i}") for i, c in enumerate(metadata)])
-    return rows.mapInArrow(scored, ", ".join(f"`{c}` {kinds[c]}" for c in others) + f", `{name}` double")
+    # the row as one column: its names cannot meet those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("doc"), whole_text(text_col).alias("text"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
+    out = rows.mapInArrow(scored, StructType([rows.schema["doc"], StructField("score", DoubleType())]))
+    return out.select("doc.*", F.col("score").alias(name))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
-    return train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1, metadata=("n_chars",))
+    return train(docs, table(spark, sf_dir, "labels"), crc_mod("_id", 3) != 1, metadata=("n_chars",))
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,16 @@ Features are the distinct words, their stems (the first four and five letters),
 word pairs and pairs with one word between them, hashed into ``2**bits`` buckets. FTRL-proximal keeps a learning rate for
 each coordinate and its L1 term leaves most weights at exactly zero, so that
 the model is a short list of buckets and weights, which is broadcast. It is
-fitted on at most ``train_rows`` labelled rows, a documented bound.
+fitted on at most ``train_rows`` labelled rows, one for each identifier, whose
+features take ``train_bytes`` or less: documented bounds, whatever the tables.
+All rows are scored, by whole texts.
 
 Defined cases: null texts count as empty; an empty text scores by the bias
-alone; without labels, or with labels of one kind only, the score is the
-smoothed share of label 1; repeated rows score alike.
+alone; very long texts are scored whole (only a text whose features are beyond
+a sixteenth of ``train_bytes`` is not learnt from); without labels, or with
+labels of one kind only, the score is the smoothed share of label 1; repeated
+rows score alike; a null identifier has no label and is scored; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.features import A2, bucket, labelled, rows_of, word_hashes
+from keyfold.llm.features import A2, bucket, collected, labelled, rows_of, word_hashes
 from keyfold.llm.shared import crc_mod, table, whole_text
 from keyfold.llm.words import slices
 
@@ -63,8 +69,11 @@ def grams(text: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[
 
 def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 6, least_rows: int = 4, seed: int = 11) -> Model:
     """One row at a time, over features that at least ``least_rows`` different rows have; L1 leaves the bias alone."""
-    rows = list({(r[0].tobytes(), r[1]): r for r in rows}.values())
-    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *[r[0] for r in rows]]), minlength=1 << bits) >= least_rows
+    rows = list({(xxhash.xxh3_128_digest(f), label): (f, label) for f, label in rows}.values())
+    seen = np.zeros(1 << bits, dtype=np.int32)
+    for f, _ in rows:
+        seen[f] += 1
+    seen = seen >= least_rows
     rows = [(f[seen[f]], label) for f, label in rows]
     y = np.array([r[1] for r in rows], dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
@@ -96,17 +105,17 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta:
     return Model(bias, kept, weights(kept), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, bits: int = 20) -> Model:
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("_text"))
-    known = labelled(rows, labels, label, learn, train_rows, id_col).select("label", "_text")
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, train_bytes: int = 64 << 20, bits: int = 20) -> Model:
+    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    known = labelled(rows, labels.withColumnRenamed(id_col, "_id"), label, learn, train_rows).select("label", "_text", "_h")
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 3 << 20):
             r, f = grams(b.column(1), bits)
             ends = np.searchsorted(r, np.arange(len(b) + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())], names=["label", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary()), b.column(2)], names=["label", "f", "_h"])
 
-    got = sorted(known.mapInArrow(cells, "label int, f binary").collect(), key=lambda r: (bytes(r.f), r.label))
+    got = collected(known.mapInArrow(cells, "label int, f binary, _h long"), F.octet_length("f"), train_bytes)
     return fit([(np.frombuffer(r.f, "<i4"), r.label) for r in got], bits)
 
 
@@ -118,16 +127,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = sent.value
         w = m.dense()
         wanted = w != 0
-        for b in slices(batches, 1, 3 << 20):
+        for b in slices(batches, 1, 2 << 20):
             r, f = grams(b.column(1), m.bits, wanted)
             z = m.bias + np.bincount(r, w[f], minlength=len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col), whole_text(text_col).alias("_text"))
-    return rows.mapInArrow(scored, f"`{id_col}` {dict(rows.dtypes)[id_col]}, score double")
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    return rows.mapInArrow(scored, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    model = train(docs, table(spark, sf_dir, "labels"), crc_mod("_id", 4) != 2)
     return score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
