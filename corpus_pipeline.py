@@ -24,8 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest identifier stays."""
-    rows = content_sort.content_sort(docs, keep="smallest", carry=("text", "lang", "source", "n_chars"))
-    return rows.filter("kept").select(*COLUMNS)
+    return content_sort.content_sort(docs, keep="smallest", carry=("text", "lang", "source", "n_chars"), kept_only=True).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ from keyfold.llm.words import slices
 
 BITS = ("p0", "p1", "p2", "p3")  # parity bits
 CENTRES = 8  # more centres of an n-gram in one turn
-TURNS = 4
+TURNS = 2
 HEAD = 8  # n-grams by which a pair is recognised as made before
 SALTS = 16  # tasks over which one set's pairs are dealt
 RUN = 1 << 16  # uses of an n-gram that get a centre of their own

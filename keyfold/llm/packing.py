@@ -91,8 +91,8 @@ def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     others = rows.columns[:-1]
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, 1 << 20)
-        for b in slices(batches, len(others)):
+        own = encoder(path, 1 << 18)
+        for b in slices(batches, len(others), 3 << 20):
             words, starts = split(b.column(len(others)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], grouped(own.encode(words), starts).cast(pa.binary())], names=[*others, "ids"])
 
