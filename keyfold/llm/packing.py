@@ -4,14 +4,17 @@ Only lengths matter for a packing, so the plan is made on the histogram of
 piece lengths, which has at most ``capacity`` entries whatever the corpus. A
 sequence is filled greedily, the longest piece that fits first; when nothing
 fits the gap any more, its smallest piece is taken out if two pieces not yet
-packed fill the widened gap more tightly. The pattern is repeated as often as
+packed fill the widened gap more tightly (a piece that is alone stays: taken out,
+it would only be alone in another sequence). The pattern is repeated as often as
 the counts allow, then the next one is made. Pieces are numbered within their
 length by a range-partitioned sort, and the number says which sequence and
 offset the plan gives them; no task sees more than its range.
 
 Defined cases: a null text counts as empty; an empty text is one piece, the end
-id alone; repeated rows and null or repeated identifiers are packed row by row;
-an empty table gives an empty result; other columns are ignored unless carried.
+id alone; very long texts are cut into pieces, each of which is moved by itself;
+repeated rows and null or repeated identifiers are packed row by row; pieces of
+equal length are placed in the order of their rows; an empty table gives an
+empty result; other columns, whatever their names, are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -113,13 +116,28 @@ def pack(
     ``keep`` makes columns from a piece's ids, by default the ids themselves;
     what it does not keep is not written or shuffled.
     """
-    whole = F.concat(F.col(ids_col), F.lit(int(end_id).to_bytes(4, "little")))
-    cut = tokens.select(F.col(id_col), whole.alias("_ids")).withColumn("_n", (F.octet_length("_ids") / 4).cast("long"))
-    cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.floor((F.col("_n") - 1) / capacity)).cast("int"))))
-    cut = cut.withColumn("start", F.col("piece").cast("long") * capacity).withColumn("length", F.least(F.col("_n") - F.col("start"), F.lit(capacity).cast("long")))
-    part = F.expr("substring(_ids, CAST(start * 4 + 1 AS INT), CAST(length * 4 AS INT))")
-    kept = keep(part) if keep else {"ids": part}
-    pieces = saved(cut.select(id_col, "piece", "start", "length", *[c.alias(n) for n, c in kept.items()], F.monotonically_increasing_id().alias("_row")), "pieces")
+    end = F.lit(int(end_id).to_bytes(4, "little"))
+    last = F.floor(F.octet_length("_ids") / (4 * capacity)).cast("int")  # the number of the last piece, which ends with the end id
+
+    def piece(p: Column) -> Column:
+        part = F.substring(F.col("_ids"), p * (4 * capacity) + 1, F.lit(4 * capacity))
+        return F.struct(p.alias("piece"), F.when(p == last, F.concat(part, end)).otherwise(part).alias("part"))
+
+    # each piece takes its own part along, not the ids of its whole document
+    cut = tokens.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
+    cut = cut.select("_id", F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("_p")).select("_id", "_p.piece", "_p.part")
+    kept = keep(F.col("part")) if keep else {"ids": F.col("part")}
+    pieces = saved(
+        cut.select(
+            F.col("_id").alias(id_col),
+            "piece",
+            (F.col("piece").cast("long") * capacity).alias("start"),
+            (F.octet_length("part") / 4).cast("long").alias("length"),
+            *[c.alias(n) for n, c in kept.items()],
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "pieces",
+    )
 
     counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # at most capacity rows
     length, rank, sequence, offset = placements(plan(counts, capacity))

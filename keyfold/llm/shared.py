@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyfold.common import dropped, numbered, saved, shared_dir, shuffle_partitions, table
+from keyfold.common import dropped, numbered, saved, scratch, shared_dir, shuffle_partitions, table
 
-__all__ = ["crc_mod", "dropped", "numbered", "saved", "shared_dir", "shuffle_partitions", "table", "whole_text"]
+__all__ = ["crc_mod", "dropped", "numbered", "saved", "scratch", "shared_dir", "shuffle_partitions", "table", "whole_text"]
 
 
 def whole_text(text: str = "text") -> Column:

@@ -688,10 +688,8 @@ def test_urls_rules_and_matches_against_brute_force(spark):
                 sure = low(1.96) >= 0.6 if v == "allow" else low(3.29) > min(share[v], 0.9)
                 if c >= 0.6 and (1 - c) * 1.5 <= 1 - share[v] and sure:
                     rules[xs, v] = (c, both / 600)
-    for (xs, v), (c, _) in list(rules.items()):
-        if any((tuple(sorted(set(xs) - {x})), v) in rules and rules[tuple(sorted(set(xs) - {x})), v][0] >= c for x in xs) and len(xs) > 1:
-            rules[xs, v] = None
-    rules = {k: r for k, r in rules.items() if r}
+    part = lambda xs, x: tuple(sorted(set(xs) - {x}))
+    rules = {(xs, v): r for (xs, v), r in rules.items() if not any(rules.get((part(xs, x), v), (-1,))[0] >= r[0] for x in xs)}
     assert any(v == "block" for _, v in rules)
     for i, _ in rows:
         met = [(c, s, -len(xs), v) for (xs, v), (c, s) in rules.items() if has[i].issuperset(xs)]

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyfold.llm import bpe, queries, words
 from keyfold.llm.shared import table
@@ -14,9 +15,98 @@ from tests.llm.test_operators import PLAIN, plain_components, plain_sets, plain_
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Documents with nulls in every column, empty and very long texts, ties, repeats and clashing names, and labels."""
+    sf = f"file://{tmp_path_factory.mktemp('sf')}"
+    story = lambda i, n=60: " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(n))
+    rows = [(i, story(i), "en", "web", 300) for i in range(40)]
+    rows += [(100, story(3) + " x", "en", "web", 300), (100, "an unrelated text of its own with the same number", None, None, None), (None, story(5) + " y", None, "web", 1), (None, "a text without a number", "de", None, 2)]
+    rows += [(7, story(7), "en", "web", 300), (7, story(7), "en", "web", 300), (200, None, "en", "web", None), (201, "", None, None, 0), (201, "", None, None, 0), (202, " \n", "en", "a", 2), (203, "long " * 60_000 + "end a@b.org", "en", "b", 300_011)]
+    rows += [(300 + i, "BUY!! " * (40 + i), "en", "spam", 240) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "_text", "_doc", "_row", "_id", "_ids", "k1", "k2", "keep_id", "_cuts", "piece", "ids", "id", "label"):
+        df = df.withColumn(name, F.lit("clash"))
+    df.repartition(5).write.parquet(f"{sf}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(300 + i, 0, 0) for i in range(20)] + [(None, 1, None), (1, None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    return sf
+
+
+def test_stages_on_odd_rows(spark, odd):
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, odd, "documents")
+    row = lambda r: tuple(r[c] for c in corpus_pipeline.COLUMNS)
+    everything = [row(r) for r in docs.collect()]
+
+    good = stages["quality classifier"](spark, docs, odd)
+    assert good.columns == corpus_pipeline.COLUMNS
+    assert not [r for r in good.collect() if (r["text"] or "").startswith("BUY")] and {r["doc_id"] for r in good.collect()} >= set(range(40))
+
+    once = [row(r) for r in stages["exact dedup"](spark, docs, odd).collect()]
+    by_text = defaultdict(list)
+    for r in everything:
+        by_text[r[1] or ""].append(r)
+    assert len(once) == len(by_text)
+    for r in once:
+        ids = [x[0] for x in by_text[r[1] or ""] if x[0] is not None]
+        assert r in by_text[r[1] or ""] and r[0] == (min(ids) if ids else None)
+
+    near = [row(r) for r in stages["n-gram Jaccard join"](spark, docs, odd).collect()]
+    sets = plain_sets([(k, r[1]) for k, r in enumerate(everything)], 5)
+    component = plain_components(sets, 80)
+    groups = defaultdict(list)
+    for k, s in sets:
+        groups[component[k] if s else -k - 1].append(everything[k])
+    assert len(near) == len(groups)
+    last = lambda r: (r[0] is None, r[0] or 0)
+    stays = sorted(last(min(g, key=last)) for g in groups.values())
+    assert sorted(map(last, near)) == stays
+    assert sum(r[1] == "an unrelated text of its own with the same number" for r in near) == 1 and not [r for r in near if (r[1] or "").endswith((" x", " y")) and "word" in r[1]]
+
+    clean = stages["personal data"](spark, docs, odd)
+    assert clean.columns == corpus_pipeline.COLUMNS
+    got = defaultdict(int)
+    for r in clean.collect():
+        got[row(r)] += 1
+    for r in everything:
+        text = r[1].replace("a@b.org", "[EMAIL]") if r[1] else r[1]
+        assert got[r[0], text, r[2], r[3], len(text) if r[4] is not None and text is not None else None] > 0, r
+    assert sum(got.values()) == len(everything)
+
+    pieces = stages["best-fit packing"](spark, docs, odd).collect()
+    library = words.Encoder(bpe.vocabulary("word_bpe_49k.json")).library
+    want = defaultdict(int)
+    for r in everything:
+        n = len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1
+        for k in range(0, n, 4096):
+            want[r[0], k, min(4096, n - k)] += 1
+    have = defaultdict(int)
+    for r in pieces:
+        have[r["doc_id"], r["start"], r["length"]] += 1
+    assert have == want
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    docs = table(spark, odd, "documents").filter("doc_id = -1")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, odd).count() == 0, name
+
+
+def test_run_leaves_no_scratch(spark, odd):
+    from keyfold import common
+
+    common.drop_saved(spark)
+    out = corpus_pipeline.run(spark, odd)
+    assert out.count() > 0
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._written]
+    assert sorted(set(left)) == ["numbered", "pieces", "stage-exact-dedup", "stage-n-gram-Jaccard-join", "stage-personal-data", "stage-quality-classifier"]
+
+
+@tables
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     stages = dict(corpus_pipeline.STAGES)
@@ -69,6 +159,7 @@ def test_pipeline(spark):
         assert end <= 4096
 
 
+@tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     import duckdb
@@ -82,6 +173,7 @@ def test_sql(spark, name):
     assert sorted(str(sorted(r.asDict().items())) for r in queries.QUERIES[name](spark, SF).collect()) == want
 
 
+@tables
 def test_queries_return_what_they_promise(spark):
     columns = {
         "op1_factorisation_machine": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
