@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.shared import dropped, saved
@@ -61,18 +61,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
     return rows.groupBy("_id", "_h").agg(F.min_by(F.struct(*others), F.xxhash64(*docs.columns)).alias("x")).select("x.*", "_h")
 
 
-def collected(rows: DataFrame, size: Column, most_bytes: int) -> list[Row]:
+def collected(rows: DataFrame, size: Column, most_bytes: int) -> pa.Table:
     """Rows of a bounded sample in the order of ``_h``, as long as their ``size`` adds up to ``most_bytes`` or less; none above a sixteenth of that.
 
     The sizes alone are looked at first.
     """
     rows = saved(rows.withColumn("_size", size.cast("long")).filter(F.col("_size") <= most_bytes // 16), "sample")
-    total, top = 0, None
-    for h, n in sorted(map(tuple, rows.select("_h", "_size").collect())):
-        total += n
-        if total > most_bytes:
-            break
-        top = h
-    got = rows.filter(F.col("_h") <= top).drop("_size").collect() if top is not None else []
+    sizes = rows.select("_h", "_size").toArrow().sort_by("_h")
+    fit = int((np.cumsum(sizes.column("_size").to_numpy()) <= most_bytes).sum()) if len(sizes) else 0
+    top = sizes.column("_h")[fit - 1].as_py() if fit else -(1 << 63)
+    got = rows.filter(F.col("_h") <= top).drop("_size").toArrow().sort_by("_h")
     dropped(rows)
-    return sorted(got, key=lambda r: r["_h"])
+    return got[:fit]

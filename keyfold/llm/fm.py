@@ -163,7 +163,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], word_bits: int, metadata
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), train_rows: int = 12_000, train_bytes: int = 64 << 20, word_bits: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = (), train_rows: int = 12_000, train_bytes: int = 48 << 20, word_bits: int = 15) -> Model:
     names = [f"_m{i}" for i in range(len(metadata))]
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"), *[F.col(c).cast("double").alias(m) for c, m in zip(metadata, names)])
     known = labelled(rows, labels.withColumnRenamed(id_col, "_id"), label, learn, train_rows).select("label", "_h", "_text", *names)
@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", id_
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], names=["label", "_h", "f", "x"])
 
     got = collected(known.mapInArrow(cells, "label int, _h long, f binary, x binary"), F.octet_length("f") * 2, train_bytes)
-    return fit([(np.frombuffer(r.f, "<i4"), np.frombuffer(r.x, "<f4"), r.label) for r in got], word_bits, len(metadata))
+    rows = [(np.frombuffer(f, "<i4"), np.frombuffer(x, "<f4"), y) for f, x, y in zip(*(got.column(c).to_pylist() for c in ("f", "x", "label")))]
+    return fit(rows, word_bits, len(metadata))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", metadata: tuple[str, ...] = (), name: str = "score") -> DataFrame:

@@ -1,7 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the distinct words, their stems (the first four and five letters),
-word pairs and pairs with one word between them, hashed into ``2**bits`` buckets. FTRL-proximal keeps a learning rate for
+stems that come twice, three or five times, word pairs and pairs with one word
+between them, hashed into ``2**bits`` buckets. FTRL-proximal keeps a learning rate for
 each coordinate and its L1 term leaves most weights at exactly zero, so that
 the model is a short list of buckets and weights, which is broadcast. It is
 fitted on at most ``train_rows`` labelled rows, one for each identifier, whose
@@ -33,6 +34,7 @@ from keyfold.llm.words import slices
 
 
 STEMS = (4, 5)
+AGAIN = (2, 3, 5)
 
 
 @dataclass
@@ -63,11 +65,19 @@ def grams(text: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[
         if wanted is not None:
             ok &= wanted[b]
         found.append((r[ok] << bits) | b[ok])
+    if len(hashes):
+        # stems that come back: words of one root more often than by chance
+        cells, times = np.unique((row << bits) | bucket(stems[0], 9, bits), return_counts=True)
+        for k in AGAIN:
+            r, h = cells[times >= k] >> bits, (cells[times >= k] & ((1 << bits) - 1)).astype(np.uint64)
+            b = bucket(h, 9 + k, bits)
+            ok = np.ones(len(b), dtype=bool) if wanted is None else wanted[b]
+            found.append((r[ok] << bits) | b[ok])
     cells = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     return cells >> bits, cells & ((1 << bits) - 1)
 
 
-def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 6, least_rows: int = 4, seed: int = 11) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 6, least_rows: int = 3, seed: int = 11) -> Model:
     """One row at a time, over features that at least ``least_rows`` different rows have; L1 leaves the bias alone."""
     rows = list({(xxhash.xxh3_128_digest(f), label): (f, label) for f, label in rows}.values())
     seen = np.zeros(1 << bits, dtype=np.int32)
@@ -105,7 +115,7 @@ def fit(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.5, beta:
     return Model(bias, kept, weights(kept), bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, train_bytes: int = 64 << 20, bits: int = 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", train_rows: int = 10_000, train_bytes: int = 48 << 20, bits: int = 20) -> Model:
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     known = labelled(rows, labels.withColumnRenamed(id_col, "_id"), label, learn, train_rows).select("label", "_text", "_h")
 
@@ -116,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "toxic", id_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[i:j].astype("<i4").tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary()), b.column(2)], names=["label", "f", "_h"])
 
     got = collected(known.mapInArrow(cells, "label int, f binary, _h long"), F.octet_length("f"), train_bytes)
-    return fit([(np.frombuffer(r.f, "<i4"), r.label) for r in got], bits)
+    return fit([(np.frombuffer(f, "<i4"), y) for f, y in zip(got.column("f").to_pylist(), got.column("label").to_pylist())], bits)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

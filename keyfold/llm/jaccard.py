@@ -18,8 +18,8 @@ centres from it, as long as that joins many of them. What is outside even then
 is paired with the sets of other components, each pair once: it is made by the
 first of the n-grams that the heads of both prefixes show.
 Pairs must pass the length and positional filters and, as suffix filters, two
-bounds on the n-grams in which the sets differ (256 parity bits, then counts in
-256 hash ranges of each set); the texts of those that are left are joined, and
+bounds on the n-grams in which the sets differ (256 parity bits where what is
+left is paired, counts in 256 hash ranges of each set for all); the texts of those that are left are joined, and
 each pair is verified once by its exact overlap. A set with very many pairs
 meets them in several tasks, its text once in each.
 
@@ -53,7 +53,7 @@ from keyfold.llm.words import slices
 
 BITS = ("p0", "p1", "p2", "p3")  # parity bits
 CENTRES = 8  # more centres of an n-gram in one turn
-TURNS = 2
+TURNS = 1
 HEAD = 8  # n-grams by which a pair is recognised as made before
 SALTS = 16  # tasks over which one set's pairs are dealt
 RUN = 1 << 16  # uses of an n-gram that get a centre of their own
@@ -298,9 +298,9 @@ def beside(pairs: DataFrame, key: str, other: str, values: DataFrame) -> DataFra
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms leave the threshold possible."""
-    one = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"h_{c}"))
-    rows = beside(beside(pairs, "b", "a", one("b")), "a", "b", one("a")).select("a", "b", "n_a", "n_b", "h_a", "h_b")
+    """Pairs of nodes (x, y) as pairs of classes (a, b), without those whose histograms rule the threshold out."""
+    one = lambda node, c: classes.select(F.col("node").alias(node), F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"h_{c}"))
+    rows = beside(beside(pairs, "y", "x", one("y", "b")), "x", "y", one("x", "a")).filter("a <> b").select("a", "b", "n_a", "n_b", "h_a", "h_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -406,16 +406,11 @@ def grouped_rows(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
         need = F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
         return differ <= F.col(n1) + F.col(n2) - 2 * need
 
-    def marked(letter: str, name: str) -> DataFrame:
-        return classes.select(F.col("node").alias(letter), F.col("class").alias(name), F.col("n").alias(f"n_{letter}"), *[F.col(k).alias(f"{k}_{letter}") for k in BITS])
-
     def linked(pairs: DataFrame) -> DataFrame:
         """Links (a, b) of classes among pairs of nodes (x, y)."""
         pairs = saved(pairs.distinct(), "met")
-        both = beside(beside(pairs, "y", "x", marked("y", "b")), "x", "y", marked("x", "a")).filter("a <> b")
-        close = saved(both.filter(near("n_x", [f"{k}_x" for k in BITS], "n_y", [f"{k}_y" for k in BITS])).select("a", "b"), "close")
-        likely = saved(near_enough(close, classes, percent), "pairs")
-        dropped(pairs, close)
+        likely = saved(near_enough(pairs, classes, percent), "pairs")
+        dropped(pairs)
         if not some(likely):
             return likely
         seen = likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct().join(classes.select("class", "k.k1", "k.k2"), "class")
