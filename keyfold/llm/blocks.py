@@ -135,7 +135,11 @@ def _search(k: int):
                 who = np.flatnonzero(active & (now == j))
                 ids, at, m = index[j]
                 scores = product(qs[who], _loaded(m.as_py(), len(ids), dim))
-                ok = (at[None, :] != q_rows[who][:, None]) & (scores >= least[who][:, None])
+                ok = (at[None, :] != q_rows[who][:, None]) & (scores >= kth[who][:, None])
+                some = ok.any(axis=1)  # most blocks after the first few change nothing for most queries
+                if not some.any():
+                    continue
+                who, scores, ok = who[some], scores[some], ok[some]
                 all_s = np.concatenate([best[who], scores], axis=1)
                 all_i = np.concatenate([best_id[who], np.broadcast_to(ids, scores.shape)], axis=1)
                 all_f = np.concatenate([filled[who], ok], axis=1)
@@ -159,7 +163,7 @@ def found(
     chunks: int = 32,
     most_blocks: int = 1024,
     sample: int = 2048,
-    per_task: int = 2048,
+    per_task: int = 8192,
 ) -> DataFrame:
     """q_row, query_id, vec_id (the largest long for null), score and blocks (scored for the query in that chunk) of every chunk's best."""
     spark = vectors.sparkSession
