@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from keyfold.llm.shared import saved, shuffle_partitions, table
 
 PIECE, PIECE_BYTES = 1 << 16, 32 << 20
+BROADCAST_ROWS = 1_000_000  # of five small columns
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -175,7 +176,8 @@ def content_sort(
     merged = edges.groupBy("_summary").agg(F.sum("group_size").alias("_total"), F.min(F.struct("_part", "_run", "keep_id")).alias("_first"))
     fixed = edges.join(merged, "_summary").select("_part", "_run", "_total", ((F.col("_first._part") == F.col("_part")) & (F.col("_first._run") == F.col("_run"))).alias("_starts"), F.col("_first.keep_id").alias("_keep"))
     fixed = saved(fixed, "content_sort_edges")  # two rows for each task and one for each piece, without the texts
-    out = marked.filter("_summary IS NULL").drop("_summary").join(fixed, ["_part", "_run"], "left")
+    small_enough = fixed.count() <= BROADCAST_ROWS  # else texts are dealt out once more
+    out = marked.filter("_summary IS NULL").drop("_summary").join(F.broadcast(fixed) if small_enough else fixed, ["_part", "_run"], "left")
     kept = F.col("_head") & F.coalesce("_starts", F.lit(True))
     name = lambda c: f"carried_{c}" if c in RESULT else c
     return (out.filter(kept) if kept_only else out).select(
